@@ -182,9 +182,15 @@ def _(t):
     return p.correlation_matrix(t.lineitem, LINE)
 
 
-@query("strong_correlations", f"select * from ({CORR}) where abs(r) > 0.7", dbl="r")
+@query(
+    "strong_correlations",
+    """select 'l_extendedprice' as column1, 'net' as column2, corr(l_extendedprice, l_extendedprice * (1 - l_discount)) as r
+    from lineitem""",
+    dbl="r",
+)
 def _(t):
-    return p.strong_correlations(t.lineitem, LINE)
+    net = t.lineitem.withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return p.strong_correlations(net, [*LINE, "net"])
 
 
 @query(

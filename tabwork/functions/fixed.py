@@ -4,3 +4,11 @@
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 PHONE = r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"
 DATE = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"
+SPECIAL = r'[!@#$%^&*(),.?":{}|<>]'
+URL = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*$,]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
+HASHTAG = r"#[\p{L}\p{N}_]+"
+MENTION = r"@[\p{L}\p{N}_]+"
+
+# fixed values: words of the sentiment feature columns
+FEATURE_POSITIVE = "good great excellent amazing wonderful fantastic love like best awesome perfect".split()
+FEATURE_NEGATIVE = "bad terrible awful horrible hate worst dislike poor disappointing annoying".split()
