@@ -12,3 +12,35 @@ MENTION = r"@[\p{L}\p{N}_]+"
 # fixed values: words of the sentiment feature columns
 FEATURE_POSITIVE = "good great excellent amazing wonderful fantastic love like best awesome perfect".split()
 FEATURE_NEGATIVE = "bad terrible awful horrible hate worst dislike poor disappointing annoying".split()
+
+# fixed values: semantic classes by column-name keyword, first match wins
+# (keywords, semantic type, business meaning, data category, privacy level)
+SEMANTIC_RULES = (
+    (("id", "identifier", "key"), "Identifier", "Unique identifier for records", "General", "Public"),
+    (("name", "title", "label"), "Name", "Descriptive name or title", "General", "Public"),
+    (("email", "mail"), "Email", "Email address", "Personal", "Confidential"),
+    (("phone", "tel", "mobile"), "Phone", "Phone number", "Personal", "Confidential"),
+    (("date", "time", "created", "updated"), "DateTime", "Date or timestamp information", "General", "Public"),
+    (("amount", "price", "cost", "value", "salary"), "Amount", "Monetary or numeric value", "Financial", "Public"),
+)
+SEMANTIC_BY_KIND = (
+    ("number", "Numeric", "Numeric measurement or count"),
+    ("text", "Text", "Text or categorical data"),
+)
+SEMANTIC_DEFAULT = ("General", "General data column")
+
+# fixed values: enrichment potential by column-name keyword
+ENRICH_RULES = (
+    (("name", "title", "description", "text", "comment"), "Text data suitable for NLP enrichment"),
+    (("email", "phone", "address", "location"), "Contact data suitable for validation and standardization"),
+    (("date", "time", "created", "updated"), "Temporal data suitable for time-based features"),
+)
+
+# fixed values: name keywords of time columns and of sensitive attributes
+TIME_NAMES = ("date", "time", "year", "month", "day", "timestamp")
+SENSITIVE_NAMES = ("email", "phone", "ssn", "id", "name", "address")
+DEMOGRAPHIC_NAMES = ("age", "gender", "race", "ethnicity", "religion", "nationality")
+GEOGRAPHIC_NAMES = ("zip", "postal", "city", "state", "country", "address")
+
+# fixed values: marks of damaged text values
+BAD_MARKS = ("?", "#", "NULL", "null", "N/A", "n/a")

@@ -39,10 +39,16 @@ def label_codes(df: DataFrame, col: str, missing: str = "missing") -> DataFrame:
     return numbered.select("_v", "_w", (F.col("_rn") - 1).alias("_code"))
 
 
-def label_encode(df: DataFrame, col: str, missing: str = "missing", name: str | None = None) -> DataFrame:
-    """Rank of the value among the sorted distinct values."""
+def label_encode(
+    df: DataFrame, col: str, missing: str = "missing", name: str | None = None, source: DataFrame | None = None
+) -> DataFrame:
+    """Rank of the value among the sorted distinct values of the source (df itself by default).
+
+    When several columns are encoded in turn, the source is the table before the
+    first one, so that its joins are not planned again for each column.
+    """
     filled = df.withColumn("_v", F.coalesce(F.col(col).cast("string"), F.lit(missing)))
-    coded = attach(filled, label_codes(df, col, missing), ["_v"], "_w")
+    coded = attach(filled, label_codes(df if source is None else source, col, missing), ["_v"], "_w")
     return coded.withColumnRenamed("_code", name or f"{col}_label_encoded").drop("_v", "_w")
 
 
@@ -135,7 +141,7 @@ def encode_for_model(df: DataFrame, cols: Sequence[str], limit: int = 50) -> Dat
         if levels(df, c, limit) is None:
             out = out.drop(c)
         else:
-            out = label_encode(out, c, name="_new").drop(c).withColumnRenamed("_new", c)
+            out = label_encode(out, c, name="_new", source=df).drop(c).withColumnRenamed("_new", c)
     return out
 
 
@@ -146,5 +152,5 @@ def encode_mixed(df: DataFrame, cols: Sequence[str], limit: int = 10) -> DataFra
         if levels(df, c, limit) is not None:
             out = one_hot(out, c, limit, dummy_na=False, drop_first=True).drop(c)
         else:
-            out = label_encode(out, c, name="_new").drop(c).withColumnRenamed("_new", c)
+            out = label_encode(out, c, name="_new", source=df).drop(c).withColumnRenamed("_new", c)
     return out
