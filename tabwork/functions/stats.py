@@ -53,13 +53,18 @@ def ks_p_value(d: Column, n1: Column, n2: Column) -> Column:
     """Asymptotic two-sample Kolmogorov-Smirnov p-value."""
     root = F.sqrt(n1.cast("double") * n2 / (n1 + n2))
     lam = root * d
-    series = sum(
-        (F.lit((-1.0) ** (k - 1)) * F.exp(F.lit(-2.0 * k * k) * lam * lam) for k in range(1, 101)), F.lit(0.0)
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(100)),
+        F.lit(0.0),
+        lambda total, k: total + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(k * k * lam * lam * -2.0),
     )
     # for small lambda the theta-function form converges, the series above does not
-    small = sum(
-        (F.exp(-F.lit((2 * k - 1) ** 2 * math.pi**2) / (lam * lam * 8)) for k in range(1, 5)), F.lit(0.0)
-    ) * (math.sqrt(2 * math.pi) / lam)
+    theta = F.aggregate(
+        F.sequence(F.lit(1), F.lit(4)),
+        F.lit(0.0),
+        lambda total, k: total + F.exp((k * 2 - 1) * (k * 2 - 1) * (-math.pi**2) / (lam * lam * 8)),
+    )
+    small = theta * math.sqrt(2 * math.pi) / lam
     p = F.when(lam < 1e-9, 1.0).when(lam < 0.6, 1.0 - small).otherwise(2 * series)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
 

@@ -166,14 +166,17 @@ def trailing(
     order_by: Sequence[str],
     partition_by: Sequence[str] = (),
     chunk_rows: int = CHUNK_ROWS,
+    number: str | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Frames over at most `reach` preceding rows, for keys of any size.
 
     Numbered rows are cut into equal chunks; the last rows of a chunk are sent
     to the next chunk too, where they are seen by its frames and then left out.
     build(frame, order) gets frame(k), the last k rows, and the plain ordering.
+    number and total name columns for the row number and the row count of the key.
     """
-    numbered = number_rows(df, order_by, partition_by, "_rn")
+    numbered = number_rows(df, order_by, partition_by, "_rn", total)
     own = F.floor((F.col("_rn") - 1) / chunk_rows)
     tail = F.pmod(F.col("_rn") - 1, F.lit(chunk_rows)) >= chunk_rows - reach
     spread = numbered.withColumn("_own", own).withColumn(
@@ -185,4 +188,5 @@ def trailing(
     order = Window.partitionBy(*partition_by, "_chunk").orderBy("_rn")
     columns = build(lambda rows: order.rowsBetween(1 - rows, 0), order)
     framed = spread.select("*", *[expr.alias(name) for name, expr in columns.items()])
-    return framed.filter(F.col("_own") == F.col("_chunk")).drop("_rn", "_own", "_chunk")
+    own_rows = framed.filter(F.col("_own") == F.col("_chunk")).drop("_own", "_chunk")
+    return own_rows.withColumnRenamed("_rn", number) if number else own_rows.drop("_rn")
