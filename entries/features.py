@@ -393,11 +393,11 @@ text_query(
     f"206.835 - 1.015 * (len({DW}) / ({n_of('[.!?]+')} + 1.0)) - 84.6 * {SYL} as text_flesch_score",
     dbl="text_flesch_score",
 )
-text_query("standardize_text", lambda c: {"text": tf.standardize(F.col(c))}, "lower(trim(text)) as text")
+text_query("standardize_text", lambda c: {"text": tf.standardize(F.col(c))}, "lower(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as text")
 text_query(
     "match_key",
     lambda c: {"key": tf.match_key(F.col(c))},
-    rf"regexp_replace(lower(trim(text)), '{PUNCT}', '', 'g') as key",
+    rf"regexp_replace(lower(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), '{PUNCT}', '', 'g') as key",
 )
 text_query(
     "preview_text",
@@ -408,7 +408,7 @@ text_query(
 
 @query(
     "clean_text",
-    """select p_partkey, list_aggregate(list_transform(string_split(trim(p_name), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))),
+    """select p_partkey, list_aggregate(list_transform(string_split(trim(p_name, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))),
     'string_agg', ' ') as p_name_cleaned from part""",
 )
 def _(t):

@@ -88,13 +88,13 @@ def _(t):
     return q.ts_quality(e, "ts", "value", ["event_type"])
 
 
-MARKED = " or ".join(f"contains(trim(text), '{m}')" for m in fixed.BAD_MARKS)
+MARKED = " or ".join(f"contains(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{m}')" for m in fixed.BAD_MARKS)
 
 
 @query(
     "text_value_quality",
-    f"""select doc_id, (case when length(trim(text)) < 2 then 0.5 else 1 end * case when {MARKED} then 0.3 else 1 end
-    * case when length(trim(text)) > 200 then 0.7 else 1 end)::double as text_data_quality from documents""",
+    f"""select doc_id, (case when length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) < 2 then 0.5 else 1 end * case when {MARKED} then 0.3 else 1 end
+    * case when length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 200 then 0.7 else 1 end)::double as text_data_quality from documents""",
     dbl="text_data_quality",
 )
 def _(t):

@@ -8,6 +8,12 @@ from tabwork.functions import fixed
 
 # \w and \s of the reference are Unicode-aware; Java needs the classes spelled out
 PUNCTUATION = r"[^\p{L}\p{N}_\s]"
+WHITE = " \t\n\r\x0b\x0c"
+
+
+def strip(c: Column) -> Column:
+    """Both ends without white space of any kind; trim takes blanks only."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def whole(c: Column) -> Column:
@@ -117,12 +123,12 @@ def flesch(col: str) -> dict[str, Column]:
 
 
 def standardize(c: Column) -> Column:
-    return F.lower(F.trim(c))
+    return F.lower(strip(c))
 
 
 def match_key(c: Column) -> Column:
     """Lower case, trimmed, without punctuation."""
-    return F.regexp_replace(F.lower(F.trim(c)), PUNCTUATION, "")
+    return F.regexp_replace(F.lower(strip(c)), PUNCTUATION, "")
 
 
 def clean_text(col: str) -> Column:
@@ -130,7 +136,7 @@ def clean_text(col: str) -> Column:
 
     initcap starts a word after a space only.
     """
-    name, c = col.lower(), F.trim(F.col(col))
+    name, c = col.lower(), strip(F.col(col))
     if "email" in name:
         return F.lower(c)
     if "phone" in name:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwork.functions import fixed
 from tabwork.functions.columns import column_kind, columns_of_kind, per_column, safe_div
+from tabwork.functions.textfeat import strip
 from tabwork.operators.catalog import cases
 from tabwork.operators.lookup import quantile_struct
 from tabwork.operators.profile import cardinality, count_duplicates, iqr_outliers, profile_table
@@ -171,7 +172,7 @@ def text_value_quality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Row-value quality of text: lowered for short, marked and overlong values; null is 0."""
 
     def score(c):
-        v = F.trim(F.col(c))
+        v = strip(F.col(c))
         marked = F.lit(False)
         for m in fixed.BAD_MARKS:
             marked = marked | F.contains(v, F.lit(m))
