@@ -155,25 +155,19 @@ def _(t):
 
 def knn_sql(answer, order):
     return f"""with d as (select q.vec_id as id, k.vec_id as tid, k.label, list_sum(list_transform(range(1, 65), lambda i: pow(q.embedding[i]::double - k.embedding[i]::double, 2))) as d
-      from embeddings q, embeddings k where q.vec_id % 2 = 0 and k.vec_id % 2 = 1),
+      from embeddings q, embeddings k),
     n as (select id, label from d qualify row_number() over (partition by id order by d, tid) <= 5), a as (select id, {answer} as p, count(*) as c from n group by {order})
     select id as vec_id, p::double as predicted from a qualify row_number() over (partition by id order by c desc, p) = 1"""
 
 
-def halves(t):
-    return t.embeddings.filter("vec_id % 2 = 1"), t.embeddings.filter("vec_id % 2 = 0")
-
-
 @query("knn_classify", knn_sql("label", "id, label"), dbl="predicted")
 def _(t):
-    known, asked = halves(t)
-    return m.knn(known, asked, "vec_id", "embedding", "label", 5)
+    return m.knn(t.embeddings, t.embeddings, "vec_id", "embedding", "label", 5)
 
 
 @query("knn_regress", knn_sql("avg(label)", "id"), dbl="predicted")
 def _(t):
-    known, asked = halves(t)
-    return m.knn(known, asked, "vec_id", "embedding", "label", 5, regression=True)
+    return m.knn(t.embeddings, t.embeddings, "vec_id", "embedding", "label", 5, regression=True)
 
 
 @query(
