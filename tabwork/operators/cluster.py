@@ -65,7 +65,9 @@ def cluster_prepare_mixed(df: DataFrame, cols: Sequence[str], out: str = "featur
     return VectorAssembler(inputCols=inputs, outputCol=out).transform(work).select(*df.columns, out)
 
 
-def features(df: DataFrame, cols: Sequence[str], out: str = "features", shift: float = 0.0) -> DataFrame:
+def features(
+    df: DataFrame, cols: Sequence[str], out: str = "features", shift: float = 0.0, source: DataFrame | None = None
+) -> DataFrame:
     """Vector of scaled numbers and hashed TF-IDF of the joined text columns.
 
     The top-down splits start from a share of the mean, so they need a mean away
@@ -74,8 +76,12 @@ def features(df: DataFrame, cols: Sequence[str], out: str = "features", shift: f
     number, text = _split_kinds(df, cols)
     work, inputs = df, []
     if number:
-        work = standard_scale(impute_median(work.withColumns({f"_n_{c}": F.col(c) for c in number}), [f"_n_{c}" for c in number]), [f"_n_{c}" for c in number])
-        inputs += [f"_n_{c}_scaled" for c in number]
+        names = [f"_n_{c}" for c in number]
+        doubled = lambda t: t.withColumns({f"_n_{c}": F.col(c).cast("double") for c in number})
+        basis = doubled(df if source is None else source)
+        filled = impute_median(basis, names)
+        work = standard_scale(impute_median(doubled(work), names, basis), names, filled)
+        inputs += [f"{n}_scaled" for n in names]
         work = work.withColumns({n: F.col(n) + shift for n in inputs})
     if text:
         words = F.filter(F.split(F.lower(combine_text(text)), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1)
@@ -89,9 +95,9 @@ def _labelled(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return model.transform(df).select(*keep, F.col("prediction").alias("cluster"))
 
 
-def _fit_label(algorithm, ready: DataFrame, keep: Sequence[str]) -> DataFrame:
+def _fit_label(algorithm, fit_on: DataFrame, ready: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Fit on the persisted vectors: every iteration reads them."""
-    held = ready.select("features").persist()
+    held = fit_on.select("features").persist()
     try:
         model = algorithm.fit(held)
     finally:
@@ -99,14 +105,19 @@ def _fit_label(algorithm, ready: DataFrame, keep: Sequence[str]) -> DataFrame:
     return _labelled(model, ready, keep)
 
 
-def cluster_kmeans(df: DataFrame, cols: Sequence[str], k: int, seed: int = SEED) -> DataFrame:
-    """The table with a k-means label."""
-    return _fit_label(KMeans(k=k, seed=seed, maxIter=20), features(df, cols), df.columns)
+def cluster_kmeans(
+    df: DataFrame, cols: Sequence[str], k: int, seed: int = SEED, source: DataFrame | None = None
+) -> DataFrame:
+    """The table with a k-means label, fitted on the source (df by default)."""
+    ready = features(df, cols, source=source)
+    fit_on = ready if source is None else features(source, cols)
+    return _fit_label(KMeans(k=k, seed=seed, maxIter=20), fit_on, ready, df.columns)
 
 
 def cluster_bisecting(df: DataFrame, cols: Sequence[str], k: int, seed: int = SEED) -> DataFrame:
     """The table with a label of top-down hierarchical clustering."""
-    return _fit_label(BisectingKMeans(k=k, seed=seed), features(df, cols, shift=1.0), df.columns)
+    ready = features(df, cols, shift=1.0)
+    return _fit_label(BisectingKMeans(k=k, seed=seed), ready, ready, df.columns)
 
 
 def append_cluster(df: DataFrame, model, features_col: str = "features") -> DataFrame:

@@ -18,10 +18,15 @@ def levels(df: DataFrame, col: str, limit: int) -> list[str] | None:
 
 
 def one_hot(
-    df: DataFrame, col: str, limit: int = 15, dummy_na: bool = True, drop_first: bool = False
+    df: DataFrame,
+    col: str,
+    limit: int = 15,
+    dummy_na: bool = True,
+    drop_first: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """0/1 column per value of a column with few values, and one for null; unchanged above the limit."""
-    values = levels(df, col, limit)
+    values = levels(df if source is None else source, col, limit)
     if values is None:
         return df
     kept = values[1:] if drop_first else values
@@ -92,9 +97,9 @@ def frequency_table(df: DataFrame, col: str) -> DataFrame:
     )
 
 
-def frequency_features(df: DataFrame, col: str, names: Sequence[str]) -> DataFrame:
+def frequency_features(df: DataFrame, col: str, names: Sequence[str], source: DataFrame | None = None) -> DataFrame:
     """The named figures of frequency_table on every row, as <col>_<name>."""
-    stats = frequency_table(df, col).select(col, "_w", *[F.col(n).alias(f"{col}_{n}") for n in names])
+    stats = frequency_table(df if source is None else source, col).select(col, "_w", *[F.col(n).alias(f"{col}_{n}") for n in names])
     return attach(df, stats, [col], "_w").drop("_w")
 
 
@@ -150,7 +155,7 @@ def encode_mixed(df: DataFrame, cols: Sequence[str], limit: int = 10) -> DataFra
     out = df
     for c in cols:
         if levels(df, c, limit) is not None:
-            out = one_hot(out, c, limit, dummy_na=False, drop_first=True).drop(c)
+            out = one_hot(out, c, limit, dummy_na=False, drop_first=True, source=df).drop(c)
         else:
             out = label_encode(out, c, name="_new", source=df).drop(c).withColumnRenamed("_new", c)
     return out

@@ -11,9 +11,11 @@ from tabwork.operators.lookup import attach
 from tabwork.operators.ordered import running
 
 
-def group_mean(df: DataFrame, key: str, val: str, name: str = "group_mean") -> DataFrame:
+def group_mean(
+    df: DataFrame, key: str, val: str, name: str = "group_mean", source: DataFrame | None = None
+) -> DataFrame:
     """The mean of val over the rows of the same key, on every row."""
-    stats = df.groupBy(key).agg(F.avg(val).alias(name), F.count(F.lit(1)).alias("_w"))
+    stats = (df if source is None else source).groupBy(key).agg(F.avg(val).alias(name), F.count(F.lit(1)).alias("_w"))
     return attach(df, stats, [key], "_w").drop("_w")
 
 
@@ -23,9 +25,9 @@ def lookup_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], weight: s
     return attach(df, stats, keys, weight).na.fill(0, extra)
 
 
-def group_deviation(df: DataFrame, key: str, val: str) -> DataFrame:
+def group_deviation(df: DataFrame, key: str, val: str, source: DataFrame | None = None) -> DataFrame:
     """Deviation from the group mean, its absolute value, and the deviation in group sds."""
-    stats = df.groupBy(key).agg(
+    stats = (df if source is None else source).groupBy(key).agg(
         F.avg(val).alias("_m"), F.stddev_samp(val).alias("_s"), F.count(F.lit(1)).alias("_w")
     )
     dev = F.col(val) - F.col("_m")
@@ -48,8 +50,10 @@ def rank_table(df: DataFrame, val: str, key: Sequence[str] = ()) -> DataFrame:
     return cum.select(*key, val, "_w", share.alias("_share"))
 
 
-def percent_rank_avg(df: DataFrame, val: str, key: Sequence[str] = (), name: str | None = None) -> DataFrame:
+def percent_rank_avg(
+    df: DataFrame, val: str, key: Sequence[str] = (), name: str | None = None, source: DataFrame | None = None
+) -> DataFrame:
     """Average-tie rank over the row count, over all rows or inside a key."""
-    ranks = rank_table(df, val, key)
+    ranks = rank_table(df if source is None else source, val, key)
     out = attach(df, ranks, [*key, val], "_w").drop("_w")
     return out.withColumnRenamed("_share", name or f"{val}_rank")

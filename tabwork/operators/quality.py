@@ -185,9 +185,9 @@ def text_value_quality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return append_columns(df, {f"{c}_data_quality": score(c) for c in cols})
 
 
-def flag_anomalies(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
+def flag_anomalies(df: DataFrame, cols: Sequence[str], k: float = 1.5, source: DataFrame | None = None) -> DataFrame:
     """Outlier flag and distance past the bound, per numeric column."""
-    q = quantile_struct(df, cols, {"q1": 0.25, "q3": 0.75})
+    q = quantile_struct(df if source is None else source, cols, {"q1": 0.25, "q3": 0.75})
     wide = df.withColumn("_q", q)
     out = {}
     for c in cols:

@@ -92,10 +92,10 @@ def _fill(df: DataFrame, cols: Sequence[str], values: Column, pick) -> DataFrame
     )
 
 
-def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Numeric nulls become the column median; integer columns become double first."""
+def impute_median(df: DataFrame, cols: Sequence[str], source: DataFrame | None = None) -> DataFrame:
+    """Numeric nulls become the column median of the source (df by default); integer columns become double first."""
     df = df.withColumns({c: F.col(c).cast("double") for c in cols})
-    return _fill(df, cols, quantile_struct(df, cols, {"m": 0.5}), lambda c: F.col(f"_fill.{c}.m"))
+    return _fill(df, cols, quantile_struct(df if source is None else source, cols, {"m": 0.5}), lambda c: F.col(f"_fill.{c}.m"))
 
 
 def impute_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:

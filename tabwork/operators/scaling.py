@@ -13,15 +13,16 @@ from tabwork.operators.groups import group_mean
 from tabwork.operators.lookup import quantile_struct
 
 
-def _with_ends(df: DataFrame, cols: Sequence[str], **measures) -> DataFrame:
+def _with_ends(df: DataFrame, cols: Sequence[str], source: DataFrame | None = None, **measures) -> DataFrame:
+    """Statistics of the source (df by default) as a struct on each row; a source keeps joins made on df out of the statistics pass."""
     fields = {c: F.struct(*[fn(num(c)).alias(k) for k, fn in measures.items()]) for c in cols}
-    return df.withColumn("_e", one_row(df, **fields))
+    return df.withColumn("_e", one_row(df if source is None else source, **fields))
 
 
-def scale(df: DataFrame, cols: Sequence[str], how: str = "zscore") -> DataFrame:
+def scale(df: DataFrame, cols: Sequence[str], how: str = "zscore", source: DataFrame | None = None) -> DataFrame:
     """z-score by the sample sd ('zscore'), by the population sd ('standard'), or 'minmax'; null when constant."""
     m = {"mean": F.avg, "sd": F.stddev_samp, "pop": F.stddev_pop, "lo": F.min, "hi": F.max}
-    wide = _with_ends(df, cols, **m)
+    wide = _with_ends(df, cols, source, **m)
     out = {}
     for c in cols:
         e = lambda k, c=c: F.col(f"_e.{c}.{k}")
@@ -35,13 +36,13 @@ def scale(df: DataFrame, cols: Sequence[str], how: str = "zscore") -> DataFrame:
     return wide.withColumns(out).drop("_e")
 
 
-def standard_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return scale(df, cols, "standard")
+def standard_scale(df: DataFrame, cols: Sequence[str], source: DataFrame | None = None) -> DataFrame:
+    return scale(df, cols, "standard", source)
 
 
-def log_sqrt(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def log_sqrt(df: DataFrame, cols: Sequence[str], source: DataFrame | None = None) -> DataFrame:
     """log1p and square root of columns that are positive throughout, else null."""
-    wide = _with_ends(df, cols, lo=F.min)
+    wide = _with_ends(df, cols, source, lo=F.min)
     out = {}
     for c in cols:
         ok = F.col(f"_e.{c}.lo") > 0
@@ -49,9 +50,9 @@ def log_sqrt(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.withColumns(out).drop("_e")
 
 
-def log_if_skewed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def log_if_skewed(df: DataFrame, cols: Sequence[str], source: DataFrame | None = None) -> DataFrame:
     """log1p in place of columns with skew over 1 and no value under 0; others unchanged."""
-    wide = _with_ends(df, cols, skew=stats.sample_skew, lo=F.min)
+    wide = _with_ends(df, cols, source, skew=stats.sample_skew, lo=F.min)
     out = {
         c: F.when((F.col(f"_e.{c}.skew") > 1) & (F.col(f"_e.{c}.lo") >= 0), F.log1p(num(c))).otherwise(num(c))
         for c in cols
@@ -59,10 +60,10 @@ def log_if_skewed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.withColumns(out).drop("_e")
 
 
-def polynomial_features(df: DataFrame, cols: Sequence[str], limit: int = 5) -> DataFrame:
+def polynomial_features(df: DataFrame, cols: Sequence[str], limit: int = 5, source: DataFrame | None = None) -> DataFrame:
     """Powers, roots, logs and bounded exponentials; roots and logs need the whole column in range."""
     cols = list(cols)[:limit]
-    wide = _with_ends(df, cols, lo=F.min)
+    wide = _with_ends(df, cols, source, lo=F.min)
     out = {}
     for c in cols:
         x, lo = num(c), F.col(f"_e.{c}.lo")
@@ -81,9 +82,9 @@ def polynomial_features(df: DataFrame, cols: Sequence[str], limit: int = 5) -> D
     return wide.withColumns(out).drop("_e")
 
 
-def bin_equal(df: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
+def bin_equal(df: DataFrame, cols: Sequence[str], n: int, source: DataFrame | None = None) -> DataFrame:
     """Equal-width, right-closed bins 0..n-1; a constant column falls in the middle bin."""
-    wide = _with_ends(df, cols, lo=F.min, hi=F.max)
+    wide = _with_ends(df, cols, source, lo=F.min, hi=F.max)
     out = {}
     for c in cols:
         x, lo, hi = num(c), F.col(f"_e.{c}.lo"), F.col(f"_e.{c}.hi")
@@ -102,19 +103,21 @@ def in_edges(x: Column, edges: Column, closed_low: bool) -> Column:
     return F.when(inside & (below >= 0) & (F.size(edges) > 1), below)
 
 
-def bin_quantile(df: DataFrame, cols: Sequence[str], n: int, name: str = "bin_quantile") -> DataFrame:
+def bin_quantile(
+    df: DataFrame, cols: Sequence[str], n: int, name: str = "bin_quantile", source: DataFrame | None = None
+) -> DataFrame:
     """Equal-frequency bins on interpolated quantile edges, equal edges merged."""
-    return _bin_by_quantiles(df, cols, [i / n for i in range(n + 1)], f"{name}_{n}", True)
+    return _bin_by_quantiles(df, cols, [i / n for i in range(n + 1)], f"{name}_{n}", True, source)
 
 
-def bin_percentile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def bin_percentile(df: DataFrame, cols: Sequence[str], source: DataFrame | None = None) -> DataFrame:
     """Quartile bins with an open lowest edge: the minimum gets null."""
-    return _bin_by_quantiles(df, cols, [0, 0.25, 0.5, 0.75, 1], "bin_percentile", False)
+    return _bin_by_quantiles(df, cols, [0, 0.25, 0.5, 0.75, 1], "bin_percentile", False, source)
 
 
-def _bin_by_quantiles(df, cols, shares, suffix, closed_low):
+def _bin_by_quantiles(df, cols, shares, suffix, closed_low, source):
     names = {f"e{i}": p for i, p in enumerate(shares)}
-    wide = df.withColumn("_q", quantile_struct(df, cols, names))
+    wide = df.withColumn("_q", quantile_struct(df if source is None else source, cols, names))
     wide = wide.withColumns(
         {f"_edges_{c}": F.array_distinct(F.array(*[F.col(f"_q.{c}.{k}") for k in names])) for c in cols}
     )
@@ -122,9 +125,9 @@ def _bin_by_quantiles(df, cols, shares, suffix, closed_low):
     return wide.withColumns(binned).drop("_q", *[f"_edges_{c}" for c in cols])
 
 
-def bin_std(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def bin_std(df: DataFrame, cols: Sequence[str], source: DataFrame | None = None) -> DataFrame:
     """Bins at min, mean - sd, mean, mean + sd, max; null where the edges do not rise."""
-    wide = _with_ends(df, cols, lo=F.min, m=F.avg, s=F.stddev_samp, hi=F.max)
+    wide = _with_ends(df, cols, source, lo=F.min, m=F.avg, s=F.stddev_samp, hi=F.max)
     out = {}
     for c in cols:
         lo, m, s, hi = [F.col(f"_e.{c}.{k}") for k in ("lo", "m", "s", "hi")]
@@ -149,5 +152,5 @@ def guided_features(df: DataFrame, specs: Sequence[dict]) -> DataFrame:
         if kinds == ("number", "number"):
             out = out.withColumn(spec["name"], num(a) / (num(b) + EPS))
         elif kinds[0] == "number":
-            out = group_mean(out, b, a, "_mean").withColumn(spec["name"], num(a) / (F.col("_mean") + EPS)).drop("_mean")
+            out = group_mean(out, b, a, "_mean", df).withColumn(spec["name"], num(a) / (F.col("_mean") + EPS)).drop("_mean")
     return out

@@ -14,6 +14,30 @@ WIDTHS = (3, 5, 7)
 LAGS = (1, 2, 3, 5)
 
 
+def _rolling(c: str, frame, widths: Sequence[int]) -> dict[str, Column]:
+    out = {}
+    for k in widths:
+        w, x = frame(k), F.col(c).cast("double")
+        out |= {
+            f"{c}_rolling_mean_{k}": F.avg(x).over(w),
+            f"{c}_rolling_std_{k}": F.coalesce(F.stddev_samp(x).over(w), F.lit(0.0)),
+            f"{c}_rolling_median_{k}": F.percentile(x, F.lit(0.5)).over(w),
+            f"{c}_rolling_min_{k}": F.min(x).over(w),
+            f"{c}_rolling_max_{k}": F.max(x).over(w),
+        }
+    return out
+
+
+def _lags(c: str, order, lags: Sequence[int]) -> dict[str, Column]:
+    return {f"{c}_lag_{k}": F.lag(c, k).over(order) for k in lags}
+
+
+def _change(c: str, order) -> dict[str, Column]:
+    before = F.lag(F.col(c).cast("double")).over(order)
+    change = F.coalesce(safe_div(F.col(c) - before, before), F.lit(0.0))
+    return {f"{c}_pct_change": change, f"{c}_pct_change_abs": F.abs(change)}
+
+
 def rolling_features(
     df: DataFrame,
     cols: Sequence[str],
@@ -26,20 +50,31 @@ def rolling_features(
     def build(frame, _order):
         out = {}
         for c in cols:
-            for k in widths:
-                w, x = frame(k), F.col(c).cast("double")
-                out |= {
-                    f"{c}_rolling_mean_{k}": F.avg(x).over(w),
-                    f"{c}_rolling_std_{k}": F.coalesce(F.stddev_samp(x).over(w), F.lit(0.0)),
-                    f"{c}_rolling_median_{k}": F.percentile(x, F.lit(0.5)).over(w),
-                    f"{c}_rolling_min_{k}": F.min(x).over(w),
-                    f"{c}_rolling_max_{k}": F.max(x).over(w),
-                }
+            out |= _rolling(c, frame, widths)
         return out
 
     return trailing(df, build, max(widths) - 1, order_by, partition_by)
 
 
+def ordered_features(
+    df: DataFrame,
+    cols: Sequence[str],
+    order_by: Sequence[str],
+    partition_by: Sequence[str] = (),
+    widths: Sequence[int] = WIDTHS,
+    lags: Sequence[int] = LAGS,
+) -> DataFrame:
+    """Rolling, lag and change features together: one numbering and one shuffle for all frames."""
+
+    def build(frame, order):
+        out = {}
+        for c in cols:
+            out |= _rolling(c, frame, widths) | _lags(c, order, lags) | _change(c, order)
+        return out
+
+    return trailing(df, build, max([*widths, *lags]), order_by, partition_by)
+
+
 def lag_features(
     df: DataFrame,
     cols: Sequence[str],
@@ -48,7 +83,10 @@ def lag_features(
     lags: Sequence[int] = LAGS,
 ) -> DataFrame:
     def build(_frame, order):
-        return {f"{c}_lag_{k}": F.lag(c, k).over(order) for c in cols for k in lags}
+        out = {}
+        for c in cols:
+            out |= _lags(c, order, lags)
+        return out
 
     return trailing(df, build, max(lags), order_by, partition_by)
 
@@ -83,9 +121,7 @@ def pct_change(df: DataFrame, col: str, order_by: Sequence[str], partition_by: S
     """Change against the row before over that row, and its absolute value; 0 where there is none."""
 
     def build(_frame, order):
-        before = F.lag(F.col(col).cast("double")).over(order)
-        change = F.coalesce(safe_div(F.col(col) - before, before), F.lit(0.0))
-        return {f"{col}_pct_change": change, f"{col}_pct_change_abs": F.abs(change)}
+        return _change(col, order)
 
     return trailing(df, build, 1, order_by, partition_by)
 

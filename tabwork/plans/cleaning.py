@@ -78,10 +78,11 @@ def enrich(df: DataFrame, cols: Sequence[str], techniques: Sequence[str]) -> Dat
     if unknown:
         raise ValueError(f"unknown techniques {unknown}; known are {TECHNIQUES}")
     number, text, time = _kinds(df, cols)
-    out = df
+    out = base = df
     for step in techniques:
         if step == "imputation":
             out = _fill(rows.add_imputation_flag(out, [*number, *text]), number, text)
+            base = _fill(df, number, text)
         elif step == "text":
             for c in text:
                 found = {f"{c}_text_length": F.length(c).cast("bigint"), f"{c}_word_count": tf.text_counts(c)[f"{c}_word_count"],
@@ -91,15 +92,15 @@ def enrich(df: DataFrame, cols: Sequence[str], techniques: Sequence[str]) -> Dat
                 out = labelled.withColumns(found)
         elif step == "encoding":
             for c in text:
-                hot = encode.levels(df, c, 10) is not None
-                out = encode.one_hot(out, c, 10, dummy_na=False) if hot else encode.label_encode(out, c, source=df)
+                hot = encode.levels(base, c, 10) is not None
+                out = encode.one_hot(out, c, 10, dummy_na=False, source=base) if hot else encode.label_encode(out, c, source=base)
         elif step == "temporal":
             for c in time:
                 out = out.withColumns(cal.calendar_parts(c) | cal.day_flags(c))
         elif step == "clustering" and number:
-            out = cluster.cluster_kmeans(out, number, 3)
+            out = cluster.cluster_kmeans(out, number, 3, source=base)
         elif step == "anomaly" and number:
-            out = quality.flag_anomalies(out, number)
+            out = quality.flag_anomalies(out, number, source=base)
         elif step == "validation" and text:
             out = quality.text_value_quality(out, text)
         elif step == "standardize":

@@ -18,7 +18,8 @@ def generate_features(
 ) -> tuple[DataFrame, DataFrame]:
     """The table with all features, and (name, type). A name made twice keeps its first family.
 
-    Families: statistical (needs order_by), temporal, categorical, interaction,
+    The statistics of every family are read from the given table, so the plan
+    grows by one pass per family and not with the columns already made. Families: statistical (needs order_by), temporal, categorical, interaction,
     text, aggregation, polynomial, binning, clustering, frequency.
     """
     number = [c for c in cols if column_kind(df, c) == "number"]
@@ -31,25 +32,23 @@ def generate_features(
     def statistical(t):
         if not number:
             return t
-        t = windows.rolling_features(t, number, order_by, partition_by)
-        t = windows.lag_features(t, number, order_by, partition_by)
+        t = windows.ordered_features(t, number, order_by, partition_by)
         t = windows.cumulative_features(t, number, order_by, partition_by)
         for c in number:
-            t = windows.pct_change(t, c, order_by, partition_by)
-            t = groups.percent_rank_avg(t, c)
-        t = scaling.scale(scaling.scale(t, number, "zscore"), number, "minmax")
-        return quality.flag_anomalies(scaling.log_sqrt(t, number), number)
+            t = groups.percent_rank_avg(t, c, source=df)
+        t = scaling.scale(scaling.scale(t, number, "zscore", df), number, "minmax", df)
+        return quality.flag_anomalies(scaling.log_sqrt(t, number, df), number, source=df)
 
     def categorical(t):
         for c in text:
-            t = encode.one_hot(t, c, 15)
+            t = encode.one_hot(t, c, 15, source=df)
             t = encode.label_encode(t, c, source=df)
-            t = encode.frequency_features(t, c, ["frequency", "frequency_pct", "rank", "is_rare"])
+            t = encode.frequency_features(t, c, ["frequency", "frequency_pct", "rank", "is_rare"], df)
         return t
 
     def frequency(t):
         for c in [*number, *text]:
-            t = encode.frequency_features(t, c, ["freq_rank", "freq_percentile", "is_common"])
+            t = encode.frequency_features(t, c, ["freq_rank", "freq_percentile", "is_common"], df)
         return t
 
     def text_features(t):
@@ -73,18 +72,18 @@ def generate_features(
     def aggregation(t):
         for c in text[:3]:
             for v in number[:4]:
-                t = groups.group_deviation(t, c, v)
+                t = groups.group_deviation(t, c, v, df)
         return t.withColumns(nf.row_stats(number[:WIDTH]) | nf.row_counts(number[:WIDTH])) if len(number) > 1 else t
 
     def polynomial(t):
-        return scaling.polynomial_features(t, number) if number else t
+        return scaling.polynomial_features(t, number, source=df) if number else t
 
     def binning(t):
         if not number:
             return t
         for n in (5, 10):
-            t = scaling.bin_quantile(scaling.bin_equal(t, number, n), number, n)
-        return scaling.bin_percentile(scaling.bin_std(t, number), number)
+            t = scaling.bin_quantile(scaling.bin_equal(t, number, n, df), number, n, source=df)
+        return scaling.bin_percentile(scaling.bin_std(t, number, df), number, df)
 
     def clustering(t):
         return cluster.cluster_features(t, number[:5]) if len(number) > 1 else t
