@@ -2,9 +2,9 @@
 
 Records with the same term vector are collapsed to one first, so a large group
 of copies costs one vector. Pairs above the threshold are found by an exact
-prefix filter: terms are ordered from rare to common, and two vectors above the
-threshold must share a term before the point where the rest of a vector is
-shorter than the threshold. Only those leading terms are joined.
+prefix filter on terms ordered from rare to common (see pairs_above): only the
+leading terms of the vectors are joined, and only pairs whose leading terms
+already add up to a fixed part of the threshold are computed in full.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from tabwork.session import cut_lineage
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 SLACK = 1e-9
+REST = 0.6
 
 
 def _words(text: Column, stop_words: Sequence[str]) -> Column:
@@ -115,12 +116,22 @@ def collapse(
 
 
 def pairs_above(terms: DataFrame, threshold: float) -> DataFrame:
-    """(id1, id2, similarity) of distinct vectors with cosine over the threshold, id1 < id2."""
+    """(id1, id2, similarity) of distinct vectors with cosine over the threshold, id1 < id2.
+
+    A vector leads with its rare terms until the rest is shorter than REST of the
+    threshold. Terms common to a pair but not leading in both lie in the rest of
+    one of them, so they add less than that; a pair whose leading terms add less
+    than the difference is out. Only the other pairs are computed in full.
+    """
+    rest_length = REST * threshold
     order = Window.partitionBy("rep").orderBy(F.col("df"), F.col("term"))  # the terms of one text
     rest = F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(0, Window.unboundedFollowing))
-    leading = terms.withColumn("_rest", rest).filter(F.col("_rest") >= threshold * threshold - SLACK).select("rep", "term")
-    left, right = leading.select(F.col("rep").alias("id1"), "term"), leading.select(F.col("rep").alias("id2"), "term")
-    candidates = left.join(right, "term").filter(F.col("id1") < F.col("id2")).select("id1", "id2").distinct()
+    leading = terms.withColumn("_rest", rest).filter(F.col("_rest") >= rest_length * rest_length - SLACK)
+    left = leading.select(F.col("rep").alias("id1"), "term", F.col("weight").alias("w1"))
+    right = leading.select(F.col("rep").alias("id2"), "term", F.col("weight").alias("w2"))
+    shared = left.join(right, "term").filter(F.col("id1") < F.col("id2"))
+    partial = shared.groupBy("id1", "id2").agg(F.sum(F.col("w1") * F.col("w2")).alias("part"))
+    candidates = partial.filter(F.col("part") > threshold - rest_length - SLACK).select("id1", "id2")
     one = terms.select(F.col("rep").alias("id1"), "term", F.col("weight").alias("w1"))
     two = terms.select(F.col("rep").alias("id2"), "term", F.col("weight").alias("w2"))
     products = candidates.join(one, "id1").join(two, ["id2", "term"])
