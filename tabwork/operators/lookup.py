@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabwork.functions.columns import melt
-from tabwork.operators.ordered import running
+from tabwork.operators.ordered import with_blocks
 
 HOT_SHARE = 1000
 SALTS = 256
@@ -51,33 +51,43 @@ def quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles per column (and key): (keys..., column, n, names...).
 
-    Equal values are counted first; the running counts over the sorted values
-    are cut into blocks, so no task and no aggregation buffer holds a column.
+    Equal values are counted first and cut into blocks. The block totals show
+    which blocks hold the wanted ranks, and only their values are sorted, so no
+    task and no aggregation buffer holds a column.
     """
     cells = melt(df, cols, "double", keys).filter(~F.isnan("value"))
     counts = cells.groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("_n"))
-    cum = running(
-        counts,
-        {"_upto": ("_n", "sum")},
-        ["value"],
-        [*keys, "column"],
-        totals={"n": ("_n", "sum")},
-        cut_from=cells,
+    group = [*keys, "column"]
+    parts = with_blocks(counts, ["value"], group, cells)
+    sums = parts.groupBy("_part").agg(F.sum("_n").alias("_size"))
+    whole = Window.partitionBy(*[F.col(f"_part.{c}") for c in group])  # the blocks of one column
+    placed = sums.select(
+        "_part",
+        "_size",
+        F.sum("_size").over(whole).alias("n"),
+        F.sum("_size").over(whole.orderBy("_part._block").rowsBetween(Window.unboundedPreceding, 0)).alias("_end"),
     )
-    picks: list[Column] = []
-    for i, p in enumerate(probs.values()):
+    start = F.col("_end") - F.col("_size")
+    wanted = F.lit(False)
+    ranks: list[Column] = []
+    for p in probs.values():
         rank = (F.col("n") - 1) * F.lit(float(p))
-        for tag, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            inside = (F.col("_upto") - F.col("_n") <= at) & (at < F.col("_upto"))
-            picks.append(F.max(F.when(inside, F.col("value"))).alias(f"_{tag}{i}"))
-    found = cum.groupBy(*keys, "column").agg(F.max("n").alias("n"), *picks)
+        for at in (F.floor(rank), F.ceil(rank)):
+            ranks.append(at)
+            wanted = wanted | ((start <= at) & (at < F.col("_end")))
+    hit = placed.filter(wanted).select("_part", "n", start.alias("_start"))
+    inside = Window.partitionBy("_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    found = parts.join(hit, "_part").withColumn("_upto", F.col("_start") + F.sum("_n").over(inside))
+    picks = []
+    for i, at in enumerate(ranks):
+        here = (F.col("_upto") - F.col("_n") <= at) & (at < F.col("_upto"))
+        picks.append(F.max(F.when(here, F.col("value"))).alias(f"_v{i}"))
+    best = found.groupBy(*group).agg(F.max("n").alias("n"), *picks)
     out = []
     for i, (name, p) in enumerate(probs.items()):
-        rank = (F.col("n") - 1) * F.lit(float(p))
-        out.append(
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (rank - F.floor(rank))).alias(name)
-        )
-    return found.select(*keys, "column", "n", *out)
+        rank, lo, hi = (F.col("n") - 1) * F.lit(float(p)), F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
+        out.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(name))
+    return best.select(*group, "n", *out)
 
 
 def quantile_struct(df: DataFrame, cols: Sequence[str], probs: dict[str, float]) -> Column:

@@ -47,7 +47,7 @@ def _cut_points(source: DataFrame, name: str, parts: int) -> Column:
     """Struct of the cut points, and of those that hold more than one share of the rows."""
     shares = [i / parts for i in range(1, parts)]
     points = F.coalesce(
-        F.percentile_approx(order_code(source, name), shares, max(2000, 20 * parts)),
+        F.percentile_approx(order_code(source, name), shares, max(500, 10 * parts)),
         F.array().cast("array<double>"),
     )
     table = source.agg(points.alias("p")).select(
