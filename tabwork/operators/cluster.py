@@ -16,6 +16,7 @@ from tabwork.functions.columns import column_kind
 from tabwork.functions.textfeat import combine_text
 from tabwork.operators.encode import label_encode
 from tabwork.operators.graph import connected_components
+from tabwork.operators.lookup import attach
 from tabwork.operators.ordered import number_rows
 from tabwork.operators.profile import top_values
 from tabwork.operators.rows import impute_mean, impute_median, impute_mode
@@ -269,8 +270,8 @@ def cluster_dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float, min
         .select(F.col("qid").alias("pid"), F.col("m.cluster").alias("cluster"))
     )
     labels = core_labels.select("pid", "cluster").unionByName(border)
-    by_point = points.select("pid", "x").join(labels, "pid", "left").select("x", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-    return rows.join(by_point, "x").select(F.col("id").alias(key), "cluster")
+    by_point = points.select("pid", "x", "w").join(labels, "pid", "left").select("x", "w", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    return attach(rows, by_point, ["x"], "w").select(F.col("id").alias(key), "cluster")
 
 
 MAX_DEPTH = 40

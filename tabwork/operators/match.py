@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabwork.functions.columns import column_kind
 from tabwork.functions.textfeat import combine_text, match_key
 from tabwork.operators.graph import connected_components
+from tabwork.operators.lookup import attach
 from tabwork.session import cut_lineage
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -101,7 +102,10 @@ def collapse(
     df: DataFrame, key: str, text: Column, max_features: int, ngrams: tuple[int, int], stop_words: Sequence[str]
 ) -> Vectors:
     texts = df.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("_text"))
-    distinct = texts.groupBy("_text").agg(F.min("id").alias("_rep"), F.count(F.lit(1)).alias("_copies"))
+    texts = texts.withColumn("_hash", F.sha2("_text", 256))
+    distinct = texts.groupBy("_hash").agg(
+        F.any_value("_text").alias("_text"), F.min("id").alias("_rep"), F.count(F.lit(1)).alias("_copies")
+    )
     distinct = cut_lineage(distinct)
     vectors = cut_lineage(_vectors(distinct, "_rep", max_features, ngrams, stop_words))
     # texts that differ only in left-out terms share a vector; a digest of its terms finds them
@@ -109,8 +113,8 @@ def collapse(
     signs = vectors.groupBy("_rep").agg(digest.alias("_sign"))
     least = signs.groupBy("_sign").agg(F.min("_rep").alias("rep"))
     same = signs.join(least, "_sign").select("_rep", "rep")
-    known = distinct.join(same, "_rep", "left").select("_text", F.coalesce("rep", "_rep").alias("rep"))
-    members = cut_lineage(texts.join(known, "_text").select("id", "rep"))
+    known = distinct.join(same, "_rep", "left").select("_hash", F.coalesce("rep", "_rep").alias("rep"), "_copies")
+    members = cut_lineage(attach(texts.select("id", "_hash"), known, ["_hash"], "_copies").select("id", "rep"))
     terms = vectors.join(same.filter("_rep = rep").select("_rep"), "_rep").withColumnRenamed("_rep", "rep")
     return Vectors(members, cut_lineage(terms))
 
@@ -160,10 +164,20 @@ def similar_pairs(
 
 
 def _grouped(v: Vectors, pairs: DataFrame) -> DataFrame:
-    """(id, rep, group): the least id of the connected records."""
-    parts = connected_components(pairs)
-    group = F.coalesce("component", "rep")
-    return v.members.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", group.alias("group"))
+    """(id, group, n, is_duplicate): least id of the connected records, their number, and whether a smaller id is similar.
+
+    Facts are joined to the distinct vectors first and attached to the records
+    by vector, so a large group of copies makes no hot join key.
+    """
+    parts = connected_components(pairs).withColumnRenamed("id", "rep")
+    later = pairs.select(F.col("id2").alias("rep")).distinct().withColumn("_later", F.lit(True))
+    sizes = v.members.groupBy("rep").agg(F.count(F.lit(1)).alias("_w"))
+    facts = sizes.join(parts, "rep", "left").join(later, "rep", "left")
+    facts = facts.select("rep", "_w", F.coalesce("component", "rep").alias("group"), F.coalesce("_later", F.lit(False)).alias("_later"))
+    totals = facts.groupBy("group").agg(F.sum("_w").alias("n"))
+    facts = cut_lineage(facts.join(totals, "group"))
+    out = attach(v.members, facts, ["rep"], "_w")
+    return out.select("id", "rep", "group", "n", ((F.col("id") != F.col("rep")) | F.col("_later")).alias("is_duplicate"))
 
 
 def detect_duplicates(
@@ -176,26 +190,16 @@ def detect_duplicates(
     text = [c for c in cols if column_kind(df, c) == "text"]
     if not text:
         firsts = df.groupBy(*cols).agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n"))
-        packed = F.struct(*[F.col(c) for c in cols])
-        joined = df.select(F.col(key), packed.alias("_k")).join(firsts.select(packed.alias("_k"), "_first", "_n"), "_k")
-        return joined.select(
+        return attach(df.select(key, *cols), firsts, list(cols), "_n").select(
             key, (F.col(key) != F.col("_first")).alias("is_duplicate"),
             F.when(F.col("_n") > 1, F.col("_first")).otherwise(-1).alias("duplicate_group"),
         )
     v = collapse(df, key, combine_text(text), max_features, (1, 1), stop_words)
     pairs = cut_lineage(pairs_above(v.terms, threshold))
-    later = pairs.select(F.col("id2").alias("rep")).distinct().withColumn("_later", F.lit(True))
-    grouped = _grouped(v, pairs)
-    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
-    flagged = (F.col("id") != F.col("rep")) | F.coalesce("_later", F.lit(False))
-    return (
-        grouped.join(later, "rep", "left")
-        .join(sizes, "group")
-        .select(
-            F.col("id").alias(key),
-            flagged.alias("is_duplicate"),
-            F.when(F.col("_n") > 1, F.col("group")).otherwise(-1).alias("duplicate_group"),
-        )
+    return _grouped(v, pairs).select(
+        F.col("id").alias(key),
+        "is_duplicate",
+        F.when(F.col("n") > 1, F.col("group")).otherwise(-1).alias("duplicate_group"),
     )
 
 
@@ -208,10 +212,8 @@ def match_records(
     pairs = cut_lineage(pairs_above(v.terms, threshold))
     copies = v.members.filter("id <> rep").select(F.col("rep").alias("id1"), F.col("id").alias("id2"), F.lit(1.0).alias("similarity"))
     matches = copies.unionByName(pairs).withColumn("match_confidence", F.when(F.col("similarity") > 0.9, "High").otherwise("Medium"))
-    grouped = _grouped(v, pairs)
-    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
-    rows = grouped.join(sizes, "group").select(
-        F.col("id").alias(key), F.col("group").alias("match_group"), (F.col("_n") > 1).alias("has_matches")
+    rows = _grouped(v, pairs).select(
+        F.col("id").alias(key), F.col("group").alias("match_group"), (F.col("n") > 1).alias("has_matches")
     )
     return matches, rows
 
@@ -229,16 +231,13 @@ def resolve_entities(
         raise ValueError("entity resolution needs text columns")
     v = collapse(df, key, combine_text(text), max_features, (1, 2), ())
     grouped = cut_lineage(_grouped(v, cut_lineage(pairs_above(v.terms, threshold))))
-    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    rows = grouped.join(sizes, "group").select(
-        F.col("id").alias(key), F.col("group").alias("entity_id"), F.col("n").alias("entity_group_size")
-    )
-    large = sizes.filter("n > 1")
-    weights = grouped.groupBy("group", "rep").agg(F.count(F.lit(1)).alias("_c")).join(large, "group")
+    rows = grouped.select(F.col("id").alias(key), F.col("group").alias("entity_id"), F.col("n").alias("entity_group_size"))
+    large = grouped.filter("n > 1").groupBy("group").agg(F.max("n").alias("n"))
+    weights = grouped.filter("n > 1").groupBy("group", "n", "rep").agg(F.count(F.lit(1)).alias("_c"))
     sums = weights.join(v.terms, "rep").groupBy("group", "n", "term").agg(F.sum(F.col("weight") * F.col("_c")).alias("s"))
     length = sums.groupBy("group", "n").agg(F.sum(F.col("s") * F.col("s")).alias("q"))
     confidence = length.select("group", ((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("confidence"))
-    records = df.select(F.col(key).alias("id"), *cols).join(grouped.select("id", "group"), "id").join(large, "group")
+    records = df.select(F.col(key).alias("id"), *cols).join(grouped.filter("n > 1").select("id", "group"), "id")
     canonical = large.join(confidence, "group")
     for c in cols:
         if c in text:
