@@ -289,7 +289,7 @@ def _(t):
         from lineitem group by l_returnflag""",
     ),
     dbl="mean sd min max sum median",
-    digits=2,
+    digits=3,
 )
 def _(t):
     return p.group_stats(t.lineitem, "l_returnflag", ["l_quantity", "l_extendedprice"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from tabwork.functions import fixed
 
-# \w and \s of the reference are Unicode-aware; Java needs the classes spelled out
+# letters and digits of any script; the plain \w of Java knows ASCII only
 PUNCTUATION = r"[^\p{L}\p{N}_\s]"
 WHITE = " \t\n\r\x0b\x0c"
 

@@ -27,7 +27,7 @@ REGRESSORS = ("linear", "ridge", "tree", "forest", "gbt")
 THREADS = 4
 
 # fixed values: most distinct values of a numeric class target, by preset
-CLASS_LIMITS = {"deployment": 19, "governance": 20, "promote": 10}
+CLASS_LIMITS = {"deployment": 19, "governance": 20, "strict": 10}
 
 
 def problem_type(df: DataFrame, y: str, preset: str = "governance") -> DataFrame:
