@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabwork.llm import suffix_trees
+from tabwork.llm import free_parse, suffix_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +42,12 @@ r as (select w.doc_id, words, coalesce(gone, []) as gone from w left join g usin
 select doc_id, len(words)::bigint as n_words, len(gone)::bigint as n_removed,
   sha256(array_to_string(list_filter(words, lambda x, i: not list_contains(gone, i)), ' ')) as kept_sha256 from r
 """
+
+
+@_query
+def op2_prefix_free_parse(spark: SparkSession, path: str) -> DataFrame:
+    out = free_parse.dedup_bytes(_table(spark, path, "documents"))
+    return out.select(
+        "doc_id", "n_bytes", _span_total("removed").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
