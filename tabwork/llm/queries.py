@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabwork.llm import free_parse, suffix_trees
+from tabwork.llm import free_parse, signature_trees, suffix_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,3 +51,8 @@ def op2_prefix_free_parse(spark: SparkSession, path: str) -> DataFrame:
         "doc_id", "n_bytes", _span_total("removed").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@_query
+def op10_signature_trees(spark: SparkSession, path: str) -> DataFrame:
+    return signature_trees.ngram_join(_table(spark, path, "documents"))
