@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabwork.llm import free_parse, signature_trees, suffix_trees
+from tabwork.llm import fm_index, free_parse, signature_trees, suffix_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -56,3 +56,29 @@ def op2_prefix_free_parse(spark: SparkSession, path: str) -> DataFrame:
 @_query
 def op10_signature_trees(spark: SparkSession, path: str) -> DataFrame:
     return signature_trees.ngram_join(_table(spark, path, "documents"))
+
+
+@_query
+def op3_fm_index(spark: SparkSession, path: str) -> DataFrame:
+    found = fm_index.decontaminate(_table(spark, path, "documents").select("doc_id", "text"), _table(spark, path, "benchmark"), cut=False)
+    hit = _span_total("_hits")
+    return found.select(
+        "doc_id", F.col("_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op3_fm_index"] = r"""
+with b as (select item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+p as (select item, w, least(len(w), 10) as k, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as i from b where len(w) > 0),
+q as (select distinct item, k, array_to_string(w[i:i + k - 1], ' ') as phrase from p),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+s as (select distinct k from q),
+v as (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, s where len(w) >= k),
+o as (select doc_id, i, q.k, item from v join q on v.k = q.k and array_to_string(w[i:i + v.k - 1], ' ') = phrase),
+h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from o) group by doc_id),
+m as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from o) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join m using (doc_id)
+"""
