@@ -30,11 +30,13 @@ from tabwork.session import cut_lineage
 SHINGLE = 5
 PERCENT = 75
 GROUP_SHINGLES = 2_000_000
+ENTRY_SHINGLES = 4_000_000
+PRINT_BYTES = 5
 BLOCK_SHINGLES = 400_000
 LEAF = 8
 
-ENTRY = "part int, chunk int, keys binary, rows binary, counts binary, held binary, prints binary, places binary"
-REPLY = "chunk int, places binary, held binary"
+ENTRY = "part int, chunk int, keys binary, counts binary, held binary, prints binary"
+REPLY = "part int, chunk int, hits binary, held binary"
 SETS = "doc_id long, n_shingles long, key string, prints array<long>, first array<long>"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -99,39 +101,53 @@ def _gathered(prints: np.ndarray, edges: np.ndarray, rows: np.ndarray) -> tuple[
     return np.repeat(rows, size), prints[at]
 
 
+def _blobs(prints: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of a chunk in the order its blobs have them: first place, times held, the blobs' edges, and for each shingle its entry."""
+    value, once, which, held = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
+    order = np.lexsort((once, value % np.uint64(groups)))
+    edges = np.searchsorted((value % np.uint64(groups))[order], np.arange(groups + 1, dtype=np.uint64))
+    entry = np.empty(len(value), np.int64)
+    entry[order] = np.arange(len(value))
+    return once[order], held[order], edges, entry[which]
+
+
 def _send(size: int, groups: int):
     def send(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
         _, prints, edges, keys, first = _chunk(table, size)
         row, h = _gathered(prints, edges, first)
-        cols = {name: [] for name in ("part", "chunk", "keys", "rows", "counts", "held", "prints", "places")}
-        if len(h):
-            value, once, held = np.unique(h, return_index=True, return_counts=True)
-            order = np.argsort(once)
-            value, once, held = value[order], once[order], held[order]
-            order, bounds = B.by_group((value % np.uint64(groups)).astype(np.int64), groups)
-            for g in np.flatnonzero(np.diff(bounds)).tolist():
-                own = order[bounds[g] : bounds[g + 1]]
-                rows, per = np.unique(row[once[own]], return_counts=True)
-                for name, x in (
-                    ("part", g), ("chunk", chunk), ("keys", keys[rows].tobytes()), ("rows", B.squeeze(rows.astype(np.int32))), ("counts", B.squeeze(per.astype(np.int32))),
-                    ("held", B.squeeze(held[own].astype(np.int32))), ("prints", value[own].tobytes()), ("places", B.squeeze(np.diff(once[own], prepend=0).astype(np.int32))),
-                ):
-                    cols[name].append(x)
+        once, held, bounds, _ = _blobs(h, groups)
+        key = keys[:, 0] ^ keys[:, 1] * B.BASE
+        cols = {name: [] for name in ("part", "chunk", "keys", "counts", "held", "prints")}
+        for g in np.flatnonzero(np.diff(bounds)).tolist():
+            own = slice(bounds[g], bounds[g + 1])
+            rows, per = np.unique(row[once[own]], return_counts=True)
+            short = np.ascontiguousarray((h[once[own]] // np.uint64(groups)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :PRINT_BYTES]
+            for name, x in (
+                ("part", g), ("chunk", chunk), ("keys", key[rows].tobytes()), ("counts", B.squeeze(per.astype(np.int32))),
+                ("held", B.squeeze(held[own].astype(np.int32))), ("prints", short.tobytes()),
+            ):
+                cols[name].append(x)
         return pa.table(cols, pa.schema([("part", pa.int32()), ("chunk", pa.int32()), *[(c, pa.binary()) for c in list(cols)[2:]]]))
 
     return send
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Answers each chunk with its shingles that sets of other keys hold too, and how many sets hold them."""
+    """Answers each chunk with its shingles that sets of other keys hold too, and how many sets hold them.
+
+    Inside a group PRINT_BYTES of a fingerprint are compared: a chance match
+    only keeps a document for the exact steps.
+    """
     prints, key, held, sizes = [], [], [], []
     for k, c, n, h in zip(table["keys"], table["counts"], table["held"], table["prints"], strict=True):
-        prints.append(np.frombuffer(h.as_py(), np.uint64))
-        pair = np.frombuffer(k.as_py(), np.uint64).reshape(-1, 2)
-        key.append(np.repeat(pair[:, 0] ^ pair[:, 1] * B.BASE, B.unsqueeze(c.as_py(), np.int32)))
+        short = np.frombuffer(h.as_py(), np.uint8).reshape(-1, PRINT_BYTES)
+        whole = np.zeros((len(short), 8), np.uint8)
+        whole[:, :PRINT_BYTES] = short
+        prints.append(whole.view("<u8").ravel())
+        key.append(np.repeat(np.frombuffer(k.as_py(), np.uint64), B.unsqueeze(c.as_py(), np.int32)))
         held.append(B.unsqueeze(n.as_py(), np.int32))
-        sizes.append(len(prints[-1]))
+        sizes.append(len(short))
     h, key, held = np.concatenate(prints), np.concatenate(key), np.concatenate(held).astype(np.int64)
     order = np.argsort(h)
     ranked = h[order]
@@ -142,18 +158,17 @@ def _shared(table: pa.Table) -> pa.Table:
     count = np.zeros(len(h), np.int64)
     count[order] = np.repeat(np.where(several, np.maximum(total, 2), 0), times)
     edges = np.cumsum([0, *sizes])
-    out = {"chunk": [], "places": [], "held": []}
-    for i, (c, at) in enumerate(zip(table["chunk"], table["places"], strict=True)):
+    out = {"part": [], "chunk": [], "hits": [], "held": []}
+    for i, (part, chunk) in enumerate(zip(table["part"].to_pylist(), table["chunk"].to_pylist(), strict=True)):
         n = count[edges[i] : edges[i + 1]]
-        hit = n > 0
-        if hit.any():
-            out["chunk"].append(c.as_py())
-            out["places"].append(B.squeeze(np.cumsum(B.unsqueeze(at.as_py(), np.int32))[hit].astype(np.int32)))
-            out["held"].append(B.squeeze(n[hit].astype(np.int32)))
-    return pa.table(out, pa.schema([("chunk", pa.int32()), ("places", pa.binary()), ("held", pa.binary())]))
+        hit = np.flatnonzero(n)
+        if len(hit):
+            for name, x in (("part", part), ("chunk", chunk), ("hits", B.squeeze(np.diff(hit, prepend=0).astype(np.int32))), ("held", B.squeeze(n[hit].astype(np.int32)))):
+                out[name].append(x)
+    return pa.table(out, pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("hits", pa.binary()), ("held", pa.binary())]))
 
 
-def _survive(size: int, percent: int):
+def _survive(size: int, percent: int, groups: int):
     def survive(docs: pa.Table, replies: pa.Table) -> pa.Table:
         ids, prints, edges, keys, first = _chunk(docs, size)
         row, h = _gathered(prints, edges, first)
@@ -161,11 +176,11 @@ def _survive(size: int, percent: int):
         names = [f"{a:016x}{b:016x}" for a, b in keys.tolist()]
         sets, firsts = [None] * len(ids), [None] * len(ids)
         if replies.num_rows and len(h):
-            _, once, which = np.unique(h, return_index=True, return_inverse=True)
-            held = np.ones(len(h), np.int64)
-            for at, count in zip(replies["places"], replies["held"], strict=True):
-                held[B.unsqueeze(at.as_py(), np.int32)] = B.unsqueeze(count.as_py(), np.int32)
-            held = held[once[which]]
+            once, _, blobs, entry = _blobs(h, groups)
+            held = np.ones(len(once), np.int64)
+            for part, hits, count in zip(replies["part"].to_pylist(), replies["hits"], replies["held"], strict=True):
+                held[blobs[part] + np.cumsum(B.unsqueeze(hits.as_py(), np.int32))] = B.unsqueeze(count.as_py(), np.int32)
+            held = held[entry]
             bounds = np.searchsorted(row, first)
             shared = np.add.reduceat((held > 1).astype(np.int64), bounds)
             for i in np.flatnonzero(100 * shared >= percent * n[first]).tolist():
@@ -176,7 +191,7 @@ def _survive(size: int, percent: int):
                 if len(chosen):
                     sets[first[i]], firsts[first[i]] = own.view(np.int64), chosen.view(np.int64)
         return pa.table({
-            "doc_id": B.ids_back(ids), "n_shingles": pa.array(n, pa.int64()), "key": pa.array(names),
+            "doc_id": B.ids_back(ids), "n_shingles": pa.array(n, pa.int64()), "key": pa.array(names, pa.string()),
             "prints": pa.array(sets, pa.list_(pa.int64())), "first": pa.array(firsts, pa.list_(pa.int64())),
         })
 
@@ -344,10 +359,10 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     sets do. Only doc_id and text are read. An empty table gives an empty result.
     """
     base, count = B.chunked(docs)
-    groups = max(1, -(-count * B.CHUNK_BYTES // 6 // group_shingles))
+    groups = max(1, -(-count * B.CHUNK_BYTES // 6 // ENTRY_SHINGLES))
     entries = base.groupBy("chunk").applyInArrow(_send(shingle, groups), ENTRY)
     replies = entries.groupBy("part").applyInArrow(_shared, REPLY)
-    rows = cut_lineage(base.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_survive(shingle, percent), SETS))
+    rows = cut_lineage(base.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_survive(shingle, percent, groups), SETS))
     heads = rows.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_copies"))
 
     cells = rows.filter(F.col("first").isNotNull()).select("key", F.explode("first").alias("_cell"))
