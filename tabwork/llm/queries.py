@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabwork.llm import fm_index, free_parse, signature_trees, suffix_trees
+from tabwork.llm import cutting_stock, fm_index, free_parse, signature_trees, suffix_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -82,3 +83,8 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join h using (doc_id) left join m using (doc_id)
 """
+
+
+@_query
+def op7_cutting_stock(spark: SparkSession, path: str) -> DataFrame:
+    return cutting_stock.pack(_table(spark, path, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
