@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabwork.llm import cutting_stock, fm_index, free_parse, signature_trees, suffix_trees
+from tabwork.llm import compression, cutting_stock, fm_index, free_parse, signature_trees, suffix_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -88,3 +88,8 @@ from d left join h using (doc_id) left join m using (doc_id)
 @_query
 def op7_cutting_stock(spark: SparkSession, path: str) -> DataFrame:
     return cutting_stock.pack(_table(spark, path, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op6_compression_bands(spark: SparkSession, path: str) -> DataFrame:
+    return compression.rated(_table(spark, path, "documents").select("doc_id", "text")).drop("text")
