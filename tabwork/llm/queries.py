@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabwork.llm import compression, cutting_stock, fm_index, free_parse, signature_trees, suffix_trees
+from tabwork.llm import compression, cutting_stock, deobfuscation, entropy_scan, fm_index, free_parse, signature_trees, spans, suffix_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,3 +93,23 @@ def op7_cutting_stock(spark: SparkSession, path: str) -> DataFrame:
 @_query
 def op6_compression_bands(spark: SparkSession, path: str) -> DataFrame:
     return compression.rated(_table(spark, path, "documents").select("doc_id", "text")).drop("text")
+
+
+@_query
+def op4_entropy_scan(spark: SparkSession, path: str) -> DataFrame:
+    found = entropy_scan.scan_secrets(_table(spark, path, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", *[spans.count_of("secrets", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(spans.joined("secrets", entropy_scan.KINDS, by_kind=False, base_only=True), 256).alias("base_sha256"),
+        spans.joined("secrets", entropy_scan.KINDS, by_kind=False, base_only=False).alias("spans"),
+    )
+
+
+@_query
+def op8_deobfuscation(spark: SparkSession, path: str) -> DataFrame:
+    found = deobfuscation.scan_personal(_table(spark, path, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", *[spans.count_of("personal", k).alias(f"n_{k}") for k in deobfuscation.KINDS],
+        F.sha2(spans.joined("personal", deobfuscation.KINDS, by_kind=True, base_only=True), 256).alias("base_sha256"),
+        spans.joined("personal", deobfuscation.KINDS, by_kind=True, base_only=False).alias("spans"),
+    )
