@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabwork.llm import compression, cutting_stock, deobfuscation, entropy_scan, fm_index, free_parse, signature_trees, spans, suffix_trees
+from tabwork.llm import (
+    compression, cutting_stock, deobfuscation, entropy_scan, fm_index, free_parse, license_scan, signature_trees, spans, suffix_trees, trie_counts,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -113,3 +115,16 @@ def op8_deobfuscation(spark: SparkSession, path: str) -> DataFrame:
         F.sha2(spans.joined("personal", deobfuscation.KINDS, by_kind=True, base_only=True), 256).alias("base_sha256"),
         spans.joined("personal", deobfuscation.KINDS, by_kind=True, base_only=False).alias("spans"),
     )
+
+
+@_query
+def op5_patience_alignment(spark: SparkSession, path: str) -> DataFrame:
+    found = license_scan.scan_licenses(_table(spark, path, "documents").select("doc_id", "text"))
+    one = F.transform("licenses", lambda s: F.concat_ws(":", s["license"], F.round(s["coverage"], 3), s["start"], s["end"]))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(one, ",").alias("licenses"))
+
+
+@_query
+def op9_trie_counts(spark: SparkSession, path: str) -> DataFrame:
+    counted = trie_counts.token_counts(_table(spark, path, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", F.col("_words").alias("n_words"), F.col("_tokens").alias("n_tokens"))
