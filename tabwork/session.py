@@ -28,8 +28,8 @@ def session(app: str = "tabwork", master: str | None = None, **conf: str) -> Spa
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by spark.checkpoint.dir.
 
-    A local master without the setting (tests) gets a temporary folder; a
-    cluster without it is an error, since executors must share the folder.
+    A single-process local master without the setting (tests) gets a temporary
+    folder; a cluster without it is an error, since executors must share the folder.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
@@ -37,12 +37,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if shared:
         sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
+    elif sc.master == "local" or sc.master.startswith("local["):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tabwork-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, for tables between the steps of a job."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise df in the checkpoint folder, so lost executors re-read it."""
     ensure_checkpoint_dir(df.sparkSession)
