@@ -210,7 +210,7 @@ def _assign(plan: Plan):
         pieces = pieces.sort_by([(c, "ascending") for c in ("grains", "length", "doc_id", "start", "ids_crc32")])
         grains = pieces["grains"].to_numpy()
         sequence, slot = np.zeros(len(grains), np.int64), np.zeros(len(grains), np.int64)
-        before = dict(zip(earlier["grains"].to_pylist(), earlier["before"].to_pylist(), strict=True))
+        before = dict(zip(earlier["own"].to_pylist(), earlier["before"].to_pylist(), strict=True))
         value, first = np.unique(grains, return_index=True)
         for k, a, b in zip(value.tolist(), first.tolist(), [*first[1:].tolist(), len(grains)], strict=True):
             sequence[a:b], slot[a:b] = plan.place(k, before[k] + np.arange(b - a))
@@ -238,8 +238,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     per_bucket = dealt.groupBy("grains", "bucket").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("grains").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    before = per_bucket.select("grains", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    placed = dealt.groupBy("bucket").cogroup(before.groupBy("bucket")).applyInArrow(_assign(plan), PLACED)
+    before = per_bucket.select(F.col("grains").alias("own"), F.col("bucket").alias("of"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = dealt.groupBy("bucket").cogroup(before.groupBy("of")).applyInArrow(_assign(plan), PLACED)
     inside = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # at most `capacity` rows
     offset = F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset")
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset)
