@@ -120,11 +120,11 @@ def _send(length: int, trigger: int, groups: int):
         cols = {name: [] for name in _schema(ENTRY).names}
         row, start, run, trig, phrase = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
         if len(row):
-            once, first = _firsts(phrase, ids[row], start)
-            late = np.flatnonzero(_later(ids[row], start, ids[row[first]], start[first]))
+            _, first = _firsts(phrase, ids[row], start)
+            later = _later(ids[row], start, ids[row[first]], start[first])
+            late, once = np.flatnonzero(later), np.flatnonzero(~later)  # rows of one doc_id may tie for the first place
             if len(late):  # repeats inside the chunk
                 _pack(cols, chunk % groups, chunk, LATE, ids, row[late], start[late], run[late])
-            once.sort()
             order, edges = B.by_group((trig[once] % np.uint64(groups)).astype(np.int64), groups)
             for g in np.flatnonzero(np.diff(edges)).tolist():
                 own = once[order[edges[g] : edges[g + 1]]]
@@ -168,8 +168,8 @@ def _resolve_phrases(table: pa.Table, length: int) -> pa.Table:
         once, first = _firsts(phrase, doc, start)
         late = _later(doc, start, doc[first], start[first])
         _reply(cols, table, LATE, blob[late], row[late], start[late], run[late])
-        _, which, times = np.unique(trig[once], return_inverse=True, return_counts=True)
-        ask = once[times[which] > 1]
+        shared, times = np.unique(trig[once], return_counts=True)
+        ask = np.flatnonzero(~late & np.isin(trig, shared[times > 1]))
         _reply(cols, table, ASK, blob[ask], row[ask], start[ask], run[ask], length)
     return pa.table(cols, _schema(REPLY))
 
