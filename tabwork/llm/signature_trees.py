@@ -30,7 +30,7 @@ from tabwork.session import cut_lineage
 SHINGLE = 5
 PERCENT = 75
 GROUP_SHINGLES = 2_000_000
-ENTRY_SHINGLES = 4_000_000
+ENTRY_SHINGLES = 2_000_000
 PRINT_BYTES = 5
 BLOCK_SHINGLES = 400_000
 LEAF = 8
@@ -148,15 +148,20 @@ def _shared(table: pa.Table) -> pa.Table:
         key.append(np.repeat(np.frombuffer(k.as_py(), np.uint64), B.unsqueeze(c.as_py(), np.int32)))
         held.append(B.unsqueeze(n.as_py(), np.int32))
         sizes.append(len(short))
-    h, key, held = np.concatenate(prints), np.concatenate(key), np.concatenate(held).astype(np.int64)
-    order = np.argsort(h)
-    ranked = h[order]
-    node = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    order = np.argsort(h := np.concatenate(prints))
+    h = h[order]
+    node = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     times = np.diff(np.append(node, len(h)))
-    total = np.add.reduceat(held[order], node)
-    several = (np.minimum.reduceat(key[order], node) != np.maximum.reduceat(key[order], node)) | (np.maximum.reduceat(held[order], node) > 1)
-    count = np.zeros(len(h), np.int64)
-    count[order] = np.repeat(np.where(several, np.maximum(total, 2), 0), times)
+    del h, prints
+    key = np.concatenate(key)[order]
+    several = np.minimum.reduceat(key, node) != np.maximum.reduceat(key, node)
+    del key
+    held = np.concatenate(held)[order]
+    several |= np.maximum.reduceat(held, node) > 1
+    total = np.add.reduceat(held, node, dtype=np.int32)
+    count = np.zeros(len(order), np.int32)
+    count[order] = np.repeat(np.where(several, np.maximum(total, 2), 0).astype(np.int32), times)
+    del order, held
     edges = np.cumsum([0, *sizes])
     out = {"part": [], "chunk": [], "hits": [], "held": []}
     for i, (part, chunk) in enumerate(zip(table["part"].to_pylist(), table["chunk"].to_pylist(), strict=True)):
