@@ -505,7 +505,7 @@ def _(t):
     "select p_partkey, dense_rank() over (order by p_brand) - 1 as p_brand, dense_rank() over (order by p_type) - 1 as p_type from part",
 )
 def _(t):
-    return e.encode_for_model(t.part.select("p_partkey", "p_brand", "p_type", "p_name"), ["p_brand", "p_type", "p_name"])
+    return e.encode_for_model(t.part.select("p_partkey", "p_brand", "p_type", "p_name"), ["p_brand", "p_type", "p_name"], limit=50)
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # fixed values: accepted text formats, tried in this order
 FORMATS = ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss")
@@ -77,6 +77,13 @@ def epoch_seconds(t: Column) -> Column:
     return whole(F.unix_date(F.to_date(t))) * 86400 + seconds_of_day(t)
 
 
+def elapsed_seconds(df: DataFrame, t: str) -> Column:
+    """A count of seconds for gaps: real time where the timestamp has a zone, wall clock where it has none."""
+    if isinstance(df.schema[t].dataType, T.TimestampType):
+        return F.floor(F.unix_micros(F.col(t)) / 1_000_000)
+    return epoch_seconds(F.col(t))
+
+
 def from_epoch_seconds(seconds: Column) -> Column:
     """Inverse of epoch_seconds, as a zone-less timestamp."""
     day = F.date_from_unix_date(F.floor(seconds / 86400).cast("int")).cast("timestamp_ntz")

@@ -20,14 +20,14 @@ def flag(c: Column) -> Column:
     return F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def pairs(cols: Sequence[str], limit: int):
-    return combinations(list(cols)[:limit], 2)
+def pairs(cols: Sequence[str]):
+    return combinations(cols, 2)
 
 
-def interaction_features(cols: Sequence[str], limit: int = 6, eps: bool = False) -> dict[str, Column]:
+def interaction_features(cols: Sequence[str], eps: bool = False) -> dict[str, Column]:
     """Products, sums, differences and ratios of pairs; eps adds 1e-8 to the divisor instead of giving 0."""
     out = {}
-    for a, b in pairs(cols, limit):
+    for a, b in pairs(cols):
         x, y = num(a), num(b)
         out |= {f"{a}_x_{b}": x * y, f"{a}_plus_{b}": x + y, f"{a}_minus_{b}": x - y, f"{b}_minus_{a}": y - x}
         for top, bottom in ((a, b), (b, a)):
@@ -36,13 +36,13 @@ def interaction_features(cols: Sequence[str], limit: int = 6, eps: bool = False)
     return out
 
 
-def interaction_pow(cols: Sequence[str], limit: int = 6) -> dict[str, Column]:
-    return {f"{a}_pow_{b}": F.pow(F.abs(num(a)), F.abs(num(b)) % 3) for a, b in pairs(cols, limit)}
+def interaction_pow(cols: Sequence[str]) -> dict[str, Column]:
+    return {f"{a}_pow_{b}": F.pow(F.abs(num(a)), F.abs(num(b)) % 3) for a, b in pairs(cols)}
 
 
-def interaction_dist(cols: Sequence[str], limit: int = 6) -> dict[str, Column]:
+def interaction_dist(cols: Sequence[str]) -> dict[str, Column]:
     out = {}
-    for a, b in pairs(cols, limit):
+    for a, b in pairs(cols):
         x, y = F.abs(num(a)), F.abs(num(b))
         out[f"{a}_{b}_euclidean"] = F.sqrt(x * x + y * y)
         out[f"{a}_{b}_manhattan"] = x + y
@@ -58,9 +58,9 @@ def null_if_any(c: Column, *cols: str) -> Column:
     return F.when(~missing, c)
 
 
-def interaction_stats(cols: Sequence[str], limit: int = 6) -> dict[str, Column]:
+def interaction_stats(cols: Sequence[str]) -> dict[str, Column]:
     out = {}
-    for a, b in pairs(cols, limit):
+    for a, b in pairs(cols):
         x, y = num(a), num(b)
         out[f"{a}_{b}_mean"] = (x + y) / 2
         out[f"{a}_{b}_max"] = null_if_any(F.greatest(x, y), a, b)
@@ -69,18 +69,18 @@ def interaction_stats(cols: Sequence[str], limit: int = 6) -> dict[str, Column]:
     return out
 
 
-def interaction_cmp(cols: Sequence[str], limit: int = 6) -> dict[str, Column]:
+def interaction_cmp(cols: Sequence[str]) -> dict[str, Column]:
     out = {}
-    for a, b in pairs(cols, limit):
+    for a, b in pairs(cols):
         out[f"{a}_gt_{b}"] = flag(num(a) > num(b))
         out[f"{a}_eq_{b}"] = flag(num(a) == num(b))
     return out
 
 
-def interaction_ratio(cols: Sequence[str], limit: int = 6) -> dict[str, Column]:
+def interaction_ratio(cols: Sequence[str]) -> dict[str, Column]:
     """Share of each pair sum; named by pair, so several pairs of a column can stand side by side."""
     out = {}
-    for a, b in pairs(cols, limit):
+    for a, b in pairs(cols):
         total = num(a) + num(b) + EPS
         out[f"{a}_share_{a}_{b}"] = num(a) / total
         out[f"{b}_share_{a}_{b}"] = num(b) / total
@@ -148,11 +148,11 @@ def row_counts(cols: Sequence[str]) -> dict[str, Column]:
     }
 
 
-def model_features(cols: Sequence[str]) -> dict[str, Column]:
-    """Model input set: products, ratios, squares and roots of three columns, sum, mean and sd of all."""
-    top = list(cols)[:3]
+def model_features(cols: Sequence[str], crossed: Sequence[str] | None = None) -> dict[str, Column]:
+    """Model input set: products, ratios, squares and roots of the crossed columns (default all), sum, mean and sd of all."""
+    top = list(cols if crossed is None else crossed)
     out = {}
-    for a, b in pairs(top, 3):
+    for a, b in pairs(top):
         out[f"{a}_x_{b}"] = num(a) * num(b)
         out[f"{a}_div_{b}"] = num(a) / (num(b) + EPS)
     for c in top:

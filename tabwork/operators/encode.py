@@ -25,10 +25,10 @@ def one_hot(
     drop_first: bool = False,
     source: DataFrame | None = None,
 ) -> DataFrame:
-    """0/1 column per value of a column with few values, and one for null; unchanged above the limit."""
+    """0/1 column per value, and one for null. A column of more than `limit` values is an error: use label codes or a higher limit."""
     values = levels(df if source is None else source, col, limit)
     if values is None:
-        return df
+        raise ValueError(f"{col} has more than {limit} values")
     kept = values[1:] if drop_first else values
     flags = {f"{col}_onehot_{v}": (F.col(col).eqNullSafe(F.lit(v))).cast("bigint") for v in kept}
     if dummy_na:
@@ -84,7 +84,8 @@ def frequency_table(df: DataFrame, col: str) -> DataFrame:
     )
     share = safe_div(F.col("_f"), F.col("_all"))
     known = F.col(col).isNotNull()
-    return table.join(ranks, "_f").select(
+    per_rank = table.groupBy("_f").agg(F.count(F.lit(1)).alias("_many"))
+    return attach(table, ranks.join(per_rank, "_f"), ["_f"], "_many").select(
         col,
         "_w",
         F.col("_f").alias("frequency"),
@@ -139,11 +140,11 @@ def value_length(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(f"{col}_length", F.length(col).cast("bigint"))
 
 
-def encode_for_model(df: DataFrame, cols: Sequence[str], limit: int = 50) -> DataFrame:
-    """Label codes in place of columns of up to `limit` values; others are dropped."""
+def encode_for_model(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Label codes in place of the columns; with a limit, columns of more values are dropped."""
     out = df
     for c in cols:
-        if levels(df, c, limit) is None:
+        if limit is not None and levels(df, c, limit) is None:
             out = out.drop(c)
         else:
             out = label_encode(out, c, name="_new", source=df).drop(c).withColumnRenamed("_new", c)

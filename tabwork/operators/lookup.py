@@ -58,7 +58,7 @@ def quantiles(
     cells = melt(df, cols, "double", keys).filter(~F.isnan("value"))
     counts = cells.groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("_n"))
     group = [*keys, "column"]
-    parts = with_blocks(counts, ["value"], group, cells)
+    parts = with_blocks(counts, ["value"], group)
     sums = parts.groupBy("_part").agg(F.sum("_n").alias("_size"))
     whole = Window.partitionBy(*[F.col(f"_part.{c}") for c in group])  # the blocks of one column
     placed = sums.select(

@@ -1,10 +1,10 @@
 """Ordered computation without sending a whole key to one task.
 
-Rows are cut into blocks of the order key. The cut points are approximate
-quantiles, so a block holds about the same number of rows whether the rows
-belong to one partition key or to many; any cut point gives the same result.
-A window then runs inside (key, block), and the totals of the earlier blocks,
-one row per key and block, are added to it.
+Rows are cut into blocks of the whole order key. The cut points come from a
+bounded sample of keys, so a block holds about the same number of rows whether
+the rows belong to one partition key or to many; any cut points give the same
+result. A window then runs inside (key, block), and the totals of the earlier
+blocks, one row per key and block, are added to it.
 """
 
 from __future__ import annotations
@@ -14,56 +14,41 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 FAN = 16
+SAMPLE_PER_BLOCK = 32
 CHUNK_ROWS = 1_000_000
 
 
-def order_code(df: DataFrame, name: str) -> Column:
-    """A double that never falls when the column rises in sort order."""
-    kind, c = df.schema[name].dataType, F.col(name)
-    if isinstance(kind, T.NumericType):
-        code = c.cast("double")
-    elif isinstance(kind, T.DateType):
-        code = F.unix_date(c).cast("double")
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        code = (
-            F.unix_date(c.cast("date")).cast("double") * 86400
-            + F.hour(c) * 3600
-            + F.minute(c) * 60
-            + F.second(c)
-        )
-    elif isinstance(kind, T.StringType):
-        first_bytes = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
-        code = F.conv(first_bytes, 16, 10).cast("double")
-    else:
-        raise TypeError(f"cannot order by {name}: {kind.simpleString()}")
-    return F.coalesce(code, F.lit(float("-inf")))
+def order_key(order_by: Sequence[str]) -> Column:
+    """The order columns as one struct, which compares as the columns do, nulls first."""
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_by)])
 
 
 def block_count(df: DataFrame) -> int:
     return min(1024, max(FAN, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def _cut_points(source: DataFrame, name: str, parts: int) -> Column:
-    """Struct of the cut points, and of those that hold more than one share of the rows."""
-    shares = [i / parts for i in range(1, parts)]
-    points = F.coalesce(
-        F.percentile_approx(order_code(source, name), shares, max(500, 10 * parts)),
-        F.array().cast("array<double>"),
-    )
-    table = source.agg(points.alias("p")).select(
-        F.struct(
-            F.array_distinct("p").alias("cuts"),
-            F.array_distinct(F.expr("filter(p, (x, i) -> i > 0 and x = p[i - 1])")).alias("heavy"),
-        )
-    )
-    return table.scalar()
+def _cut_points(source: DataFrame, order_by: Sequence[str], parts: int) -> Column:
+    """Sorted array of at most parts - 1 order keys, evenly spaced in a sample of the distinct ones.
+
+    A row is in the sample by its hash, at a rate that gives about
+    SAMPLE_PER_BLOCK keys for each block, so every evaluation has the same cuts.
+    A value of the first column that very many rows share is cut by the columns
+    after it.
+    """
+    hashed = [f.name for f in source.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    total = source.agg(F.count(F.lit(1)).alias("n")).scalar()
+    share = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = source.filter(share * total < parts * SAMPLE_PER_BLOCK).select(order_key(order_by).alias("_k"))
+    keys = F.sort_array(F.collect_set("_k"))
+    every = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get(keys, F.floor(i * F.size(keys) / F.lit(parts)).cast("int")))
+    return sample.agg(F.array_distinct(F.filter(every, lambda k: k.isNotNull())).alias("cuts")).scalar()
 
 
-def _count_below(cuts: Column, code: Column) -> Column:
-    """How many sorted cut points lie under code, looking at every FAN-th one first."""
+def _count_below(cuts: Column, key: Column) -> Column:
+    """How many sorted cut points lie under key, looking at every FAN-th one first."""
     coarse = F.filter(cuts, lambda e, i: (i % FAN) == FAN - 1)
-    step = F.size(F.filter(coarse, lambda e: e < code)) * FAN
-    return step + F.size(F.filter(F.slice(cuts, step + 1, FAN - 1), lambda e: e < code))
+    step = F.size(F.filter(coarse, lambda e: e < key)) * FAN
+    return step + F.size(F.filter(F.slice(cuts, step + 1, FAN - 1), lambda e: e < key))
 
 
 def with_blocks(
@@ -73,25 +58,12 @@ def with_blocks(
     cut_from: DataFrame | None = None,
     name: str = "_part",
 ) -> DataFrame:
-    """Add a struct (partition keys, block); blocks rise with the order key.
-
-    A value of the first order column that is very frequent gets blocks of its
-    own, cut again by the second order column.
-    """
+    """Add a struct (partition keys, block); blocks rise with the whole order key."""
     source, parts = (cut_from if cut_from is not None else df), block_count(df)
-    coded = df.withColumn("_code", order_code(df, order_by[0])).withColumn(
-        "_cuts", _cut_points(source, order_by[0], parts)
-    )
-    heavy = F.array_contains(F.col("_cuts.heavy"), F.col("_code"))
-    block = _count_below(F.col("_cuts.cuts"), F.col("_code")) * 2 + heavy.cast("int")
-    if len(order_by) > 1:
-        coded = coded.withColumn("_code2", order_code(df, order_by[1])).withColumn(
-            "_cuts2", _cut_points(source, order_by[1], parts)
-        )
-        inner = F.when(heavy, _count_below(F.col("_cuts2.cuts"), F.col("_code2"))).otherwise(0)
-        block = block * (parts + 1) + inner
-    key = F.struct(*[F.col(c) for c in partition_by], block.cast("long").alias("_block"))
-    return coded.withColumn(name, key).drop("_code", "_cuts", "_code2", "_cuts2")
+    cut = df.withColumn("_cuts", _cut_points(source, order_by, parts))
+    block = _count_below(F.col("_cuts"), order_key(order_by))
+    part = F.struct(*[F.col(c) for c in partition_by], block.cast("long").alias("_block"))
+    return cut.withColumn(name, part).drop("_cuts")
 
 
 def running(
@@ -171,20 +143,15 @@ def trailing(
 ) -> DataFrame:
     """Frames over at most `reach` preceding rows, for keys of any size.
 
-    Numbered rows are cut into equal chunks; the last rows of a chunk are sent
-    to the next chunk too, where they are seen by its frames and then left out.
+    Numbered rows are cut into equal chunks; a row is sent to every later chunk
+    that its frames reach, where it is seen and then left out.
     build(frame, order) gets frame(k), the last k rows, and the plain ordering.
     number and total name columns for the row number and the row count of the key.
     """
     numbered = number_rows(df, order_by, partition_by, "_rn", total)
     own = F.floor((F.col("_rn") - 1) / chunk_rows)
-    tail = F.pmod(F.col("_rn") - 1, F.lit(chunk_rows)) >= chunk_rows - reach
-    spread = numbered.withColumn("_own", own).withColumn(
-        "_chunk",
-        F.explode(
-            F.when(tail, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array(F.col("_own")))
-        ),
-    )
+    last = F.floor((F.col("_rn") - 1 + reach) / chunk_rows)
+    spread = numbered.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(F.col("_own"), last)))
     order = Window.partitionBy(*partition_by, "_chunk").orderBy("_rn")
     columns = build(lambda rows: order.rowsBetween(1 - rows, 0), order)
     framed = spread.select("*", *[expr.alias(name) for name, expr in columns.items()])

@@ -10,8 +10,6 @@ from tabwork.functions.columns import columns_of_kind, melt, one_row
 from tabwork.operators.lookup import quantile_struct
 from tabwork.operators.ordered import number_rows
 
-TAKE_LIMIT = 100_000
-
 
 def select_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols)
@@ -35,11 +33,9 @@ def hash_bucket(*keys: str, buckets: int = 1000, seed: int = 42) -> Column:
     return F.pmod(F.conv(F.substring(key_hash(*keys, seed=seed), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
 
 
-def first_n(df: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataFrame:
-    """The first n rows of an order; large n is cut by row number, not on one task."""
-    if n <= TAKE_LIMIT:
-        return df.orderBy(*order_by).limit(n)
-    return number_rows(df, [str(c) for c in order_by], name="_rn").filter(F.col("_rn") <= n).drop("_rn")
+def first_n(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
+    """The first n rows of an order, cut by row number, not on one task."""
+    return number_rows(df, list(order_by), name="_rn").filter(F.col("_rn") <= n).drop("_rn")
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:

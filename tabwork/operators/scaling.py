@@ -60,9 +60,8 @@ def log_if_skewed(df: DataFrame, cols: Sequence[str], source: DataFrame | None =
     return wide.withColumns(out).drop("_e")
 
 
-def polynomial_features(df: DataFrame, cols: Sequence[str], limit: int = 5, source: DataFrame | None = None) -> DataFrame:
+def polynomial_features(df: DataFrame, cols: Sequence[str], source: DataFrame | None = None) -> DataFrame:
     """Powers, roots, logs and bounded exponentials; roots and logs need the whole column in range."""
-    cols = list(cols)[:limit]
     wide = _with_ends(df, cols, source, lo=F.min)
     out = {}
     for c in cols:

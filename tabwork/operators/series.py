@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabwork.functions.calendar import epoch_seconds, parse_datetime
+from tabwork.functions.calendar import elapsed_seconds, parse_datetime
 from tabwork.functions.columns import column_kind, safe_div
 from tabwork.functions.stats import normal_quantile
 from tabwork.operators.lookup import attach
@@ -30,9 +30,10 @@ def prepare_series(
 
 def numbered_series(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Row number, row count and the gap to the time before."""
+    seconds = elapsed_seconds(series, "t")
 
     def build(_frame, order):
-        return {"gap_seconds": epoch_seconds(F.col("t")) - F.lag(epoch_seconds(F.col("t"))).over(order)}
+        return {"gap_seconds": seconds - F.lag(seconds).over(order)}
 
     return trailing(series, build, 1, ["t"], keys, number="rn", total="n")
 

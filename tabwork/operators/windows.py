@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabwork.functions.calendar import epoch_seconds
+from tabwork.functions.calendar import elapsed_seconds
 from tabwork.functions.columns import safe_div
 from tabwork.operators.ordered import number_rows, running, trailing
 
@@ -128,9 +128,10 @@ def pct_change(df: DataFrame, col: str, order_by: Sequence[str], partition_by: S
 
 def time_gaps(df: DataFrame, t: str, keys: Sequence[str] = ()) -> DataFrame:
     """Seconds since the time before, per key; null on the first row."""
+    seconds = elapsed_seconds(df, t)
 
     def build(_frame, order):
-        return {"gap_seconds": epoch_seconds(F.col(t)) - F.lag(epoch_seconds(F.col(t))).over(order)}
+        return {"gap_seconds": seconds - F.lag(seconds).over(order)}
 
     return trailing(df.filter(F.col(t).isNotNull()), build, 1, [t], keys)
 

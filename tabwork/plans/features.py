@@ -10,7 +10,8 @@ from tabwork.functions import calendar as cal, numeric as nf, textfeat as tf
 from tabwork.functions.columns import column_kind
 from tabwork.operators import cluster, encode, groups, quality, scaling, windows
 
-WIDTH = 6
+ONE_HOT = 15
+
 
 
 def generate_features(
@@ -41,7 +42,8 @@ def generate_features(
 
     def categorical(t):
         for c in text:
-            t = encode.one_hot(t, c, 15, source=df)
+            if encode.levels(df, c, ONE_HOT) is not None:  # a column of more values has codes and frequencies
+                t = encode.one_hot(t, c, ONE_HOT, source=df)
             t = encode.label_encode(t, c, source=df)
             t = encode.frequency_features(t, c, ["frequency", "frequency_pct", "rank", "is_rare"], df)
         return t
@@ -66,14 +68,14 @@ def generate_features(
     def interaction(t):
         made = {}
         for make in (nf.interaction_features, nf.interaction_pow, nf.interaction_dist, nf.interaction_stats, nf.interaction_cmp, nf.interaction_ratio):
-            made |= make(number, WIDTH)
-        return t.withColumns(made | nf.self_powers(number[:WIDTH])) if number else t
+            made |= make(number)
+        return t.withColumns(made | nf.self_powers(number)) if number else t
 
     def aggregation(t):
-        for c in text[:3]:
-            for v in number[:4]:
+        for c in text:
+            for v in number:
                 t = groups.group_deviation(t, c, v, df)
-        return t.withColumns(nf.row_stats(number[:WIDTH]) | nf.row_counts(number[:WIDTH])) if len(number) > 1 else t
+        return t.withColumns(nf.row_stats(number) | nf.row_counts(number)) if len(number) > 1 else t
 
     def polynomial(t):
         return scaling.polynomial_features(t, number, source=df) if number else t
@@ -86,7 +88,7 @@ def generate_features(
         return scaling.bin_percentile(scaling.bin_std(t, number, df), number, df)
 
     def clustering(t):
-        return cluster.cluster_features(t, number[:5]) if len(number) > 1 else t
+        return cluster.cluster_features(t, number) if len(number) > 1 else t
 
     makers = {
         "statistical": statistical, "temporal": temporal, "categorical": categorical, "interaction": interaction, "text": text_features,
