@@ -22,6 +22,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(rb"[0-9][0-9.]*")
 IP = re.compile(rb"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
@@ -44,7 +45,12 @@ AT = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])[ ]?[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]?
 DOT = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])[ ]?[\[({<][ ]?(?:dot|punkt|point|punto|\.)[ ]?[\])}>][ ]?(?=[A-Za-z0-9])")
 PLAIN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?: dot [A-Za-z0-9_%+-]+){0,4} at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+){1,4}(?![A-Za-z0-9])")
 PLAIN_PART = re.compile(r"(?i) (at|dot) ")
-HINT = re.compile(rf"(?i)[\[({{<][ ]?(?:at|@|dot)[ ]?[\])}}>]| at [A-Za-z0-9-]+ dot |{_WORD}[ ,.-]{{1,3}}{_WORD}[ ,.-]{{1,3}}{_WORD}")
+BRACKET_HINT = re.compile(rb"[\[({<] ?(?:at|@|dot|punkt|point|punto|\.) ?[\])}>]")
+_WORDS = "|".join(DIGITS).encode()
+# a run of seven spelled digits has one between two separators, with another behind it
+DIGIT_HINT = re.compile(rb"[ ,.-](?:" + _WORDS + rb")[ ,.-]{1,3}(?:" + _WORDS + rb")[ ,.-]")
+# the first bytes of characters from U+0100 on, and the soft hyphen: all keys of TABLE and INVISIBLE
+ODD_BYTES = re.compile(rb"[\xc4-\xff]|\xc2\xad")
 
 
 def _table() -> dict[int, str]:
@@ -99,7 +105,9 @@ def _digits(text: bytes) -> str:
 def base_spans(raw: bytes) -> list[tuple[str, int, int]]:
     """Leftmost matches of each kind, failing ones dropped."""
     found = [("email", a, b) for a, b in _emails(raw)]
-    found += [("ip", *m.span()) for m in IP.finditer(raw) if _is_ip(m.group())]
+    for run in DOTTED.finditer(raw):  # a match lies inside one run of digits and dots
+        if run.end() - run.start() >= 7:
+            found += [("ip", run.start() + m.start(), run.start() + m.end()) for m in IP.finditer(run.group()) if _is_ip(m.group())]
     for m in CARD.finditer(raw):
         if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m.group())) <= 19 and luhn(d):
             found.append(("card", *m.span()))
@@ -144,10 +152,12 @@ def _spelled(m: re.Match) -> str:
     return ("+" if words[0] == "plus" else "") + "".join(DIGITS[w] for w in words if w in DIGITS)
 
 
-def disguised_spans(text: str) -> list[tuple[str, int, int]]:
+def disguised_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
     """Identifiers of the normal form, as spans of the source."""
-    odd = ODD.search(text)
-    if not odd and not HINT.search(text):
+    odd = ODD_BYTES.search(raw) and ODD.search(text)
+    low = raw.lower()
+    hinted = b" at " in low and b" dot " in low or BRACKET_HINT.search(low) or DIGIT_HINT.search(low)
+    if not odd and not hinted:
         return []
     traced = Traced(text)
     if odd:
@@ -163,9 +173,9 @@ def disguised_spans(text: str) -> list[tuple[str, int, int]]:
     for part in (AT, DOT):
         traced.rewrite(part, lambda m, put="@" if part is AT else ".": put)
     traced.rewrite(PLAIN, lambda m: PLAIN_PART.sub(lambda p: "@" if p.group(1).lower() == "at" else ".", m.group()))
-    raw = traced.text.encode()
-    spans = sorted((a, b, kind) for kind, a, b in base_spans(raw))
-    points = code_points(raw, len(raw) == len(traced.text), [(a, b) for a, b, _ in spans])
+    normal = traced.text.encode()
+    spans = sorted((a, b, kind) for kind, a, b in base_spans(normal))
+    points = code_points(normal, len(normal) == len(traced.text), [(a, b) for a, b, _ in spans])
     found += [(kind, *traced.back(a, b)) for (a, b), (_, _, kind) in zip(points, spans, strict=True)]
     return found
 
@@ -175,7 +185,7 @@ def find_personal(text: str) -> list[Span]:
     base = sorted((a, b, kind) for kind, a, b in base_spans(raw))
     points = code_points(raw, len(raw) == len(text), [(a, b) for a, b, _ in base])
     out = [(kind, a, b, True) for (a, b), (_, _, kind) in zip(points, base, strict=True)]
-    for kind, a, b in sorted(disguised_spans(text), key=lambda s: (s[1], -s[2])):
+    for kind, a, b in sorted(disguised_spans(text, raw), key=lambda s: (s[1], -s[2])):
         if not any(s < b and a < e for _, s, e, _ in out):
             out.append((kind, a, b, False))
     return out
