@@ -17,6 +17,9 @@ SETS = {
 }
 
 
+BLANKS = r"[ \t\n\r\f\v]+"
+
+
 def profile_sql():
     parts = []
     for name, (table, cols) in SETS.items():
@@ -34,7 +37,7 @@ def profile_sql():
                 {f"min({x})::double" if number else "null::double"} as min, {f"max({x})::double" if number else "null::double"} as max,
                 {f"avg({x})" if number else "null::double"} as mean, {f"stddev_samp({x})" if number else "null::double"} as sd,
                 {f"avg(length({x}))" if text else "null::double"} as avg_length,
-                {f"avg(len(list_filter(regexp_split_to_array({x}, '[ 	]+'), lambda w: w <> '')))" if text and x != "text" else "6.0" if text else "null::double"} as avg_words,
+                {f"avg(len(list_filter(regexp_split_to_array({x}, '{BLANKS}'), lambda w: w <> '')))" if text else "null::double"} as avg_words,
                 {f"bool_or(contains({x}, '@'))" if text else "null::boolean"} as has_at,
                 {f"bool_or(regexp_matches({x}, '[0-9]'))" if text else "null::boolean"} as has_digit,
                 {f"bool_or(regexp_matches({x}, '[-/:]'))" if text else "null::boolean"} as has_separator,
@@ -67,9 +70,9 @@ def name_has(words):
 
 rule_query(
     "column_profile",
-    lambda p: p.drop("unique_pct", "avg_words"),
-    "select * exclude (avg_words) from p",
-    dbl="missing_pct min max mean sd avg_length",
+    lambda p: p.drop("unique_pct"),
+    "select * from p",
+    dbl="missing_pct min max mean sd avg_length avg_words",
     digits=4,
 )
 rule_query(

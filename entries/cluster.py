@@ -98,14 +98,17 @@ def _(t):
     return c.cluster_stats(marked, ["c_acctbal", "c_mktsegment"])
 
 
+DIMS = [f"d{i}" for i in range(1, 65)]
+
+
 @query(
     "cluster_centers",
-    "select label as cluster, avg(embedding[1]) as d1, avg(embedding[64]) as d64 from embeddings group by label",
-    dbl="d1 d64",
+    f"select label as cluster, {', '.join(f'avg(embedding[{i}]) as d{i}' for i in range(1, 65))} from embeddings group by label",
+    dbl=" ".join(DIMS),
 )
 def _(t):
-    df = t.embeddings.select(F.col("label").alias("cluster"), F.get("embedding", 0).alias("d1"), F.get("embedding", 63).alias("d64"))
-    return c.cluster_centers(df, ["d1", "d64"])
+    df = t.embeddings.select(F.col("label").alias("cluster"), *[F.get("embedding", i).alias(d) for i, d in enumerate(DIMS)])
+    return c.cluster_centers(df, DIMS)
 
 
 @query(

@@ -87,7 +87,7 @@ def _(t):
     return m.governed_run(labelled(t), "quality", XS, ["doc_id"])
 
 
-@query("prepare_model_data")
+@query("prepare_model_data", "select count(*) as n from documents join labels using (doc_id)")
 def _(t):
     return m.prepare_model_data(labelled(t), "quality", XS).agg(F.count("features").alias("n"))
 

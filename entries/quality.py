@@ -162,14 +162,14 @@ def _(t):
     )
 
 
-RUNS = """(select p_brand as run, avg((p_size > 12)::int) as accuracy, avg((p_size > 20)::int) as r2, count(*) as data_size, max(p_size)::bigint as num_features,
+RUNS = """(select p_brand as run, case when p_brand not like '%3' then avg((p_size > 12)::int) end as accuracy, avg((p_size > 20)::int) as r2, count(*) as data_size, max(p_size)::bigint as num_features,
   100.0 - avg(p_size) as quality_score from part group by p_brand)"""
 
 
 def runs(t):
-    """A metrics table with one row per brand."""
+    """A metrics table with one row per brand; some have no accuracy, as regressions do."""
     return t.part.groupBy(F.col("p_brand").alias("run")).agg(
-        F.avg((F.col("p_size") > 12).cast("int")).alias("accuracy"),
+        F.when(~F.col("p_brand").like("%3"), F.avg((F.col("p_size") > 12).cast("int"))).alias("accuracy"),
         F.avg((F.col("p_size") > 20).cast("int")).alias("r2"),
         F.count(F.lit(1)).alias("data_size"),
         F.max("p_size").cast("bigint").alias("num_features"),
@@ -199,7 +199,8 @@ def _(t):
 
 @query(
     "performance_level",
-    f"""select run, case when accuracy >= 0.9 then 'Excellent' when accuracy >= 0.8 then 'Good' when accuracy >= 0.7 then 'Fair' else 'Poor' end as level from {RUNS}""",
+    f"""select run, case when accuracy is null then case when r2 >= 0.8 then 'Excellent' when r2 >= 0.6 then 'Good' when r2 >= 0.4 then 'Fair' else 'Poor' end
+    when accuracy >= 0.9 then 'Excellent' when accuracy >= 0.8 then 'Good' when accuracy >= 0.7 then 'Fair' else 'Poor' end as level from {RUNS}""",
 )
 def _(t):
     return q.performance_level(runs(t)).select("run", "level")
@@ -218,7 +219,7 @@ RULES = [
     f"""with m as (select run, 'accuracy' as metric, accuracy as value from {RUNS} union all select run, 'r2', r2 from {RUNS})
     select run, metric, case when metric = 'r2' then 'Good fit' when value >= 0.9 then 'Excellent performance' when value >= 0.7 then 'Good performance' else 'Weak performance' end as title,
     case when metric = 'r2' then printf('r2 %.3f', value) when value >= 0.7 then printf('accuracy %.3f', value) else printf('accuracy %.3f needs work', value) end as description
-    from m where metric = 'accuracy' or value >= 0.5""",
+    from m where value is not null and (metric = 'accuracy' or value >= 0.5)""",
 )
 def _(t):
     return q.insight_rows(runs(t).unpivot(["run"], ["accuracy", "r2"], "metric", "value"), RULES)

@@ -1,10 +1,10 @@
 """Text similarity, duplicates, record matching and entity resolution.
 
 Records with the same term vector are collapsed to one first, so a large group
-of copies costs one vector. Pairs above the threshold are found by an exact
-prefix filter on terms ordered from rare to common (see pairs_above): only the
-leading terms of the vectors are joined, and only pairs whose leading terms
-already add up to a fixed part of the threshold are computed in full.
+of copies costs one vector. All terms count unless the caller sets max_features.
+Pairs above the threshold are found by an exact prefix filter on terms ordered
+from rare to common (see pairs_above): only the leading terms of the vectors are
+joined, and only pairs that share one are computed in full.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from tabwork.session import cut_lineage
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 SLACK = 1e-9
-REST = 0.6
 
 
 def _words(text: Column, stop_words: Sequence[str]) -> Column:
@@ -47,23 +46,26 @@ def tfidf(
     df: DataFrame,
     key: str,
     text: Column,
-    max_features: int = 1000,
+    max_features: int | None = None,
     ngrams: tuple[int, int] = (1, 1),
     stop_words: Sequence[str] = (),
 ) -> DataFrame:
-    """(key, term, tf, df, weight): smoothed idf, unit length, the max_features most frequent terms.
+    """(key, term, tf, df, weight): smoothed idf, unit length; all terms, or the max_features most frequent ones.
 
     df is the number of records with the term. Equal texts are counted once and
     weighted by the number of their records.
     """
     texts = df.select(key, F.coalesce(text, F.lit("")).alias("_text"))
-    distinct = texts.groupBy("_text").agg(F.min(key).alias("_rep"), F.count(F.lit(1)).alias("_copies"))
+    texts = texts.withColumn("_hash", F.sha2("_text", 256))
+    distinct = texts.groupBy("_hash").agg(
+        F.any_value("_text").alias("_text"), F.min(key).alias("_rep"), F.count(F.lit(1)).alias("_copies")
+    )
     vectors = _vectors(distinct, "_rep", max_features, ngrams, stop_words)
-    reps = texts.join(distinct.select("_text", "_rep"), "_text").select(key, "_rep")
+    reps = attach(texts.select(key, "_hash"), distinct.select("_hash", "_rep", "_copies"), ["_hash"], "_copies").select(key, "_rep")
     return reps.join(vectors, "_rep").drop("_rep")
 
 
-def _vectors(distinct: DataFrame, key: str, max_features: int, ngrams, stop_words) -> DataFrame:
+def _vectors(distinct: DataFrame, key: str, max_features: int | None, ngrams, stop_words) -> DataFrame:
     """Weighted terms of the distinct texts (key, _text, _copies)."""
     total = distinct.agg(F.sum("_copies").alias("n")).scalar()
     counts = (
@@ -72,17 +74,15 @@ def _vectors(distinct: DataFrame, key: str, max_features: int, ngrams, stop_word
         .groupBy(key, "_copies", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    # at most max_features rows, so the vocabulary can be broadcast
-    vocabulary = (
-        counts.groupBy("term")
-        .agg(F.sum(F.col("tf") * F.col("_copies")).alias("_all"), F.sum("_copies").alias("df"))
-        .orderBy(F.desc("_all"), "term")
-        .limit(max_features)
-        .drop("_all")
+    vocabulary = counts.groupBy("term").agg(
+        F.sum(F.col("tf") * F.col("_copies")).alias("_all"), F.sum("_copies").alias("df"), F.count(F.lit(1)).alias("_rows")
     )
-    kept = counts.join(F.broadcast(vocabulary), "term")
+    if max_features is None:
+        kept = attach(counts, vocabulary.select("term", "df", "_rows"), ["term"], "_rows").drop("_rows")
+    else:  # at most max_features rows, so the vocabulary can be broadcast
+        kept = counts.join(F.broadcast(vocabulary.orderBy(F.desc("_all"), "term").limit(max_features).select("term", "df")), "term")
     raw = kept.withColumn("_w", F.col("tf") * (F.log((1 + total) / (1 + F.col("df"))) + 1))
-    # the terms of one text, at most max_features rows
+    # the terms of one text
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", "tf", "df", (F.col("_w") / norm).alias("weight"))
 
@@ -99,7 +99,7 @@ class Vectors:
 
 
 def collapse(
-    df: DataFrame, key: str, text: Column, max_features: int, ngrams: tuple[int, int], stop_words: Sequence[str]
+    df: DataFrame, key: str, text: Column, max_features: int | None, ngrams: tuple[int, int], stop_words: Sequence[str]
 ) -> Vectors:
     texts = df.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("_text"))
     texts = texts.withColumn("_hash", F.sha2("_text", 256))
@@ -122,20 +122,18 @@ def collapse(
 def pairs_above(terms: DataFrame, threshold: float) -> DataFrame:
     """(id1, id2, similarity) of distinct vectors with cosine over the threshold, id1 < id2.
 
-    A vector leads with its rare terms until the rest is shorter than REST of the
-    threshold. Terms common to a pair but not leading in both lie in the rest of
-    one of them, so they add less than that; a pair whose leading terms add less
-    than the difference is out. Only the other pairs are computed in full.
+    A vector leads with its rare terms until the rest is shorter than the
+    threshold. If the rarest term that a pair shares is behind the leading terms
+    of one of the two, all they share lies in its rest, and the cosine is below
+    the threshold; so every pair above it shares a leading term of both. These
+    are the rare ones, and only such pairs are computed in full.
     """
-    rest_length = REST * threshold
     order = Window.partitionBy("rep").orderBy(F.col("df"), F.col("term"))  # the terms of one text
     rest = F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(0, Window.unboundedFollowing))
-    leading = terms.withColumn("_rest", rest).filter(F.col("_rest") >= rest_length * rest_length - SLACK)
-    left = leading.select(F.col("rep").alias("id1"), "term", F.col("weight").alias("w1"))
-    right = leading.select(F.col("rep").alias("id2"), "term", F.col("weight").alias("w2"))
-    shared = left.join(right, "term").filter(F.col("id1") < F.col("id2"))
-    partial = shared.groupBy("id1", "id2").agg(F.sum(F.col("w1") * F.col("w2")).alias("part"))
-    candidates = partial.filter(F.col("part") > threshold - rest_length - SLACK).select("id1", "id2")
+    leading = terms.withColumn("_rest", rest).filter(F.col("_rest") >= threshold * threshold - SLACK)
+    left = leading.select(F.col("rep").alias("id1"), "term")
+    right = leading.select(F.col("rep").alias("id2"), "term")
+    candidates = left.join(right, "term").filter(F.col("id1") < F.col("id2")).select("id1", "id2").distinct()
     one = terms.select(F.col("rep").alias("id1"), "term", F.col("weight").alias("w1"))
     two = terms.select(F.col("rep").alias("id2"), "term", F.col("weight").alias("w2"))
     products = candidates.join(one, "id1").join(two, ["id2", "term"])
@@ -148,7 +146,7 @@ def similar_pairs(
     key: str,
     text: Column,
     threshold: float = 0.8,
-    max_features: int = 1000,
+    max_features: int | None = None,
     ngrams: tuple[int, int] = (1, 1),
     stop_words: Sequence[str] = (),
 ) -> DataFrame:
@@ -181,7 +179,7 @@ def _grouped(v: Vectors, pairs: DataFrame) -> DataFrame:
 
 
 def detect_duplicates(
-    df: DataFrame, key: str, cols: Sequence[str], threshold: float = 0.8, max_features: int = 1000, stop_words: Sequence[str] = ()
+    df: DataFrame, key: str, cols: Sequence[str], threshold: float = 0.8, max_features: int | None = None, stop_words: Sequence[str] = ()
 ) -> DataFrame:
     """(key, is_duplicate, duplicate_group): flagged when a similar record has a smaller key; -1 without one.
 
@@ -204,7 +202,7 @@ def detect_duplicates(
 
 
 def match_records(
-    df: DataFrame, key: str, cols: Sequence[str], threshold: float = 0.8, max_features: int = 500
+    df: DataFrame, key: str, cols: Sequence[str], threshold: float = 0.8, max_features: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Matches (id1, id2, similarity, match_confidence) and rows (key, match_group, has_matches)."""
     text = F.concat_ws(" ", *[F.coalesce(match_key(F.col(c)), F.lit("")) for c in cols if column_kind(df, c) == "text"])
@@ -219,7 +217,7 @@ def match_records(
 
 
 def resolve_entities(
-    df: DataFrame, key: str, cols: Sequence[str], threshold: float = 0.8, max_features: int = 1000
+    df: DataFrame, key: str, cols: Sequence[str], threshold: float = 0.8, max_features: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Rows (key, entity_id, entity_group_size) and one canonical record per group of two or more.
 

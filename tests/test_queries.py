@@ -1,6 +1,4 @@
-"""Registered queries against their SQL on the smallest tables; TABWORK_ALL=1 runs every one."""
-
-import os
+"""Registered queries against their SQL on the smallest tables."""
 
 import pytest
 
@@ -9,13 +7,9 @@ import entries
 
 entries.load_all()
 PATH = "/root/testdata/sf0.001"
-CORE = [
-    "profile_table", "cardinality", "profile_numeric", "group_stats", "histogram", "quality_score", "detect_anomalies", "column_profile",
-    "impute_median", "split_train_test", "label_encode", "frequency_rank", "lag_features", "group_percentile", "bin_std_percentile",
-    "boundary_flags", "text_counts", "detect_drift", "forecast_job", "keywords", "extract_entities", "detect_duplicates", "cluster_dbscan",
-    "csv_round_trip", "clean_data", "roc_auc",
-]
-NAMES = sorted(entries.ORACLE) if os.environ.get("TABWORK_ALL") else CORE
+# queries whose result over the smallest tables is empty; any other empty result is a failure
+EMPTY = {"match_records_pairs", "resolve_entities_canonical"}
+NAMES = sorted(entries.ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +20,7 @@ def con():
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, con, name):
     said = check.compare(spark, con, PATH, name)
-    assert said == "" or said == "FAIL: no rows", said
+    assert said == ("FAIL: no rows" if name in EMPTY else ""), said
 
 
 def test_every_sql_has_a_query():
