@@ -51,6 +51,56 @@ for _name in m.REGRESSORS:
     regressor_query(_name)
 
 
+def mean_query(name):
+    """The mean of the fitted values equals the mean of the target, on the rows of the fit."""
+
+    @query(f"{name}_mean_prediction", "select avg(p_retailprice) as mean_prediction, count(*) as n from part", dbl="mean_prediction", digits=4)
+    def _(t):
+        df = priced(t).withColumn("y", F.col("p_retailprice"))
+        out = m.score(df, m.train(df, "y", PX, name, "regression"), "y", PX)
+        return out.agg(F.avg("predicted_y").alias("mean_prediction"), F.count(F.lit(1)).alias("n"))
+
+
+for _name in ("linear", "ridge", "tree"):
+    mean_query(_name)
+
+
+@query(
+    "model_settings",
+    """select 'shallow' as setting, avg(p_retailprice) as mean_prediction, true as better from part union all
+    select 'deep', avg(p_retailprice), true from part""",
+    dbl="mean_prediction",
+    digits=4,
+)
+def _(t):
+    """Two settings of one model: both keep the mean of the target, and the deeper tree has the smaller error."""
+    df = priced(t).withColumn("y", F.col("p_retailprice"))
+    error = {}
+    for setting, params in (("shallow", {"maxDepth": 1}), ("deep", {"maxDepth": 8})):
+        out = m.score(df, m.train(df, "y", PX, "tree", "regression", params=params), "y", PX)
+        error[setting] = out.agg(F.avg("predicted_y").alias("mean_prediction"), F.avg((F.col("y") - F.col("predicted_y")) ** 2).alias("mse"))
+    both = error["shallow"].select(F.lit("shallow").alias("setting"), "mean_prediction", "mse").unionByName(error["deep"].select(F.lit("deep").alias("setting"), "mean_prediction", "mse"))
+    worse = error["shallow"].select("mse").scalar()
+    return both.select("setting", "mean_prediction", (F.col("mse") <= worse).alias("better"))
+
+
+@query("fold_summary", "select 'accuracy' as metric, true as ordered, true as in_range, true as beats_half")
+def _(t):
+    s = m.fold_summary(m.cross_validate(labelled(t), "quality", XS, "tree", ["doc_id"], 3))
+    ordered = (F.col("min") <= F.col("mean")) & (F.col("mean") <= F.col("max")) & (F.col("sd") <= F.col("max") - F.col("min"))
+    return s.select("metric", ordered.alias("ordered"), F.col("mean").between(0, 1).alias("in_range"), (F.col("mean") > 0.5).alias("beats_half"))
+
+
+@query("score_rows", "select lang, count(*) as n from documents group by lang")
+def _(t):
+    """Scoring takes rows without a target: every document gets an answer."""
+    df = labelled(t)
+    cols = {**tf.text_counts("text"), **tf.char_class_counts("text")}
+    fresh = t.documents.select("doc_id", "n_chars", "lang", *[cols[c].alias(c) for c in ("text_word_count", "text_digit_count")])
+    answers = m.score(fresh, m.train(df, "quality", XS, "tree", "classification"), "quality", XS)
+    return counted(answers.filter(F.col("predicted_quality").isin("0", "1")), "lang")
+
+
 @query("compare_models")
 def _(t):
     return m.compare_models(labelled(t), "quality", XS, ["logistic", "tree", "naive_bayes"], ["doc_id"]).filter("metric <> 'training_seconds'")

@@ -24,9 +24,9 @@ from tabwork.operators.scaling import standard_scale
 from tabwork.session import cut_lineage
 
 SEED = 42
-TEXT_DIM = 128
+TEXT_DIM = 1 << 10
 # fixed values: cluster counts tried by the automatic choice and by the feature set
-AUTO_K = (2, 3, 4, 5, 6)
+AUTO_K = (3, 4, 5, 6, 7, 8)
 FEATURE_K = (3, 5, 8)
 
 
@@ -67,7 +67,7 @@ def cluster_prepare_mixed(df: DataFrame, cols: Sequence[str], out: str = "featur
 
 
 def features(
-    df: DataFrame, cols: Sequence[str], out: str = "features", shift: float = 0.0, source: DataFrame | None = None
+    df: DataFrame, cols: Sequence[str], out: str = "features", shift: float = 0.0, source: DataFrame | None = None, text_dim: int = TEXT_DIM
 ) -> DataFrame:
     """Vector of scaled numbers and hashed TF-IDF of the joined text columns.
 
@@ -86,7 +86,7 @@ def features(
         work = work.withColumns({n: F.col(n) + shift for n in inputs})
     if text:
         words = F.filter(F.split(F.lower(combine_text(text)), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1)
-        work = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=TEXT_DIM).transform(work.withColumn("_w", words))
+        work = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=text_dim).transform(work.withColumn("_w", words))
         work = IDF(inputCol="_tf", outputCol="_tfidf").fit(work).transform(work)
         inputs.append("_tfidf")
     return VectorAssembler(inputCols=inputs, outputCol=out).transform(work).select(*df.columns, out)

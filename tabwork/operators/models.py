@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabwork.functions.columns import column_kind, safe_div
 from tabwork.operators.groups import rank_table
+from tabwork.operators.lookup import attach
 from tabwork.operators.profile import cardinality, classification_report
 from tabwork.operators.quality import model_risk
 from tabwork.operators.rows import drop_null_target, hash_bucket, split_train_test
@@ -39,26 +40,37 @@ def problem_type(df: DataFrame, y: str, preset: str = "governance") -> DataFrame
     )
 
 
-def estimator(name: str, kind: str, width: int, classes: int):
+# fixed values: settings of each model by preset; a caller's own settings go over them
+PRESETS = {
+    "standard": {
+        "linear": {}, "ridge": {"regParam": 1.0, "elasticNetParam": 0.0}, "logistic": {"maxIter": 100}, "tree": {"maxDepth": 3}, "forest": {"numTrees": 50, "maxDepth": 10},
+        "gbt": {"maxIter": 20}, "naive_bayes": {"modelType": "gaussian"}, "svm": {"maxIter": 100}, "mlp": {"maxIter": 100},
+    },
+    "deep": {"tree": {"maxDepth": 10}, "forest": {"numTrees": 100, "maxDepth": 12}, "gbt": {"maxIter": 50}, "logistic": {"maxIter": 500}, "mlp": {"maxIter": 300}},
+}
+
+
+def settings(name: str, preset: str = "standard", params: dict | None = None) -> dict:
+    """The settings of a model: the standard ones, those of the preset over them, then the caller's."""
+    return {**PRESETS["standard"][name], **PRESETS[preset].get(name, {}), **(params or {})}
+
+
+def estimator(name: str, kind: str, width: int, classes: int, preset: str = "standard", params: dict | None = None):
     """The Spark ML stage of a model name; gradient boosting and SVM go one-vs-rest above two classes."""
+    chosen = settings(name, preset, params)
     if kind == "regression":
-        return {
-            "linear": lambda: mr.LinearRegression(),
-            "ridge": lambda: mr.LinearRegression(regParam=1.0, elasticNetParam=0.0),
-            "tree": lambda: mr.DecisionTreeRegressor(maxDepth=3, seed=SEED),
-            "forest": lambda: mr.RandomForestRegressor(numTrees=50, seed=SEED),
-            "gbt": lambda: mr.GBTRegressor(maxIter=20, seed=SEED),
-        }[name]()
-    many = lambda m: mc.OneVsRest(classifier=m) if classes > 2 else m
-    return {
-        "logistic": lambda: mc.LogisticRegression(maxIter=100),
-        "tree": lambda: mc.DecisionTreeClassifier(maxDepth=3, seed=SEED),
-        "naive_bayes": lambda: mc.NaiveBayes(modelType="gaussian"),
-        "forest": lambda: mc.RandomForestClassifier(numTrees=50, seed=SEED),
-        "gbt": lambda: many(mc.GBTClassifier(maxIter=20, seed=SEED)),
-        "svm": lambda: many(mc.LinearSVC(maxIter=50)),
-        "mlp": lambda: mc.MultilayerPerceptronClassifier(layers=[width, 50, classes], seed=SEED, maxIter=100),
-    }[name]()
+        make = {"linear": mr.LinearRegression, "ridge": mr.LinearRegression, "tree": mr.DecisionTreeRegressor, "forest": mr.RandomForestRegressor, "gbt": mr.GBTRegressor}[name]
+    else:
+        make = {
+            "logistic": mc.LogisticRegression, "tree": mc.DecisionTreeClassifier, "naive_bayes": mc.NaiveBayes, "forest": mc.RandomForestClassifier,
+            "gbt": mc.GBTClassifier, "svm": mc.LinearSVC, "mlp": mc.MultilayerPerceptronClassifier,
+        }[name]
+    if name in ("tree", "forest", "gbt", "mlp"):
+        chosen = {"seed": SEED, **chosen}
+    if name == "mlp":
+        chosen = {"layers": [width, 50, classes], **chosen}
+    model = make(**chosen)
+    return mc.OneVsRest(classifier=model) if name in ("gbt", "svm") and kind != "regression" and classes > 2 else model
 
 
 def input_columns(df: DataFrame, xs: Sequence[str]) -> DataFrame:
@@ -91,19 +103,29 @@ def prepare_model_data(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     return Pipeline(stages=preparation(rows, xs)).fit(rows).transform(rows).select(*df.columns, "features")
 
 
-def train(df: DataFrame, y: str, xs: Sequence[str], name: str, kind: str | None = None) -> PipelineModel:
-    """Fit preparation and model as one pipeline; the answer column is `predicted_<y>`."""
-    rows = input_columns(drop_null_target(df, y), xs)
+def train(df: DataFrame, y: str, xs: Sequence[str], name: str, kind: str | None = None, preset: str = "standard", params: dict | None = None) -> PipelineModel:
+    """Fit preparation and model as one pipeline; the answer column is `predicted_<y>`.
+
+    Every stage of the fit reads the input rows, so they are held for its length.
+    """
     kind = kind or problem_type(df, y).first()["problem_type"]
+    rows = input_columns(drop_null_target(df, y), xs).select(y, *[x for x in xs if x != y]).persist()
+    try:
+        return _fit(rows, y, xs, name, kind, preset, params)
+    finally:
+        rows.unpersist()
+
+
+def _fit(rows: DataFrame, y: str, xs: Sequence[str], name: str, kind: str, preset: str, params: dict | None) -> PipelineModel:
     stages = preparation(rows, xs)
     if kind == "regression":
         rows = rows.withColumn("label", F.col(y).cast("double"))
-        model = estimator(name, kind, len(xs), 0)
+        model = estimator(name, kind, len(xs), 0, preset, params)
         model.setPredictionCol(f"predicted_{y}")
         return Pipeline(stages=[*stages, model]).fit(rows)
     rows = rows.withColumn("_y", F.col(y).cast("string"))
     labels = StringIndexer(inputCol="_y", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
-    model = estimator(name, kind, len(xs), len(labels.labels))
+    model = estimator(name, kind, len(xs), len(labels.labels), preset, params)
     back = IndexToString(inputCol="prediction", outputCol=f"predicted_{y}", labels=labels.labels)
     fitted = Pipeline(stages=[*stages, model, back])
     return fitted.fit(labels.transform(rows))
@@ -266,10 +288,12 @@ def mutual_information(df: DataFrame, y: str, xs: Sequence[str], bins: int = 10)
         *[F.col(f"{c}_bin_quantile_{bins}" if c in number else c).cast("string").alias(c) for c in xs],
     ).filter("_y is not null")
     joint = cells.unpivot(["_y"], list(xs), "feature", "v").filter("v is not null").groupBy("feature", "_y", "v").agg(F.count(F.lit(1)).alias("n"))
-    left = joint.groupBy("feature", "v").agg(F.sum("n").alias("nv"))
-    right = joint.groupBy("feature", "_y").agg(F.sum("n").alias("ny"))
-    total = joint.groupBy("feature").agg(F.sum("n").alias("t"))
-    table = joint.join(left, ["feature", "v"]).join(right, ["feature", "_y"]).join(total, "feature")
+    left = joint.groupBy("feature", "v").agg(F.sum("n").alias("nv"), F.count(F.lit(1)).alias("rows"))
+    right = joint.groupBy("feature", "_y").agg(F.sum("n").alias("ny"), F.count(F.lit(1)).alias("rows"))
+    total = joint.groupBy("feature").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("rows"))
+    table = joint
+    for part, keys in ((left, ["feature", "v"]), (right, ["feature", "_y"]), (total, ["feature"])):
+        table = attach(table, part, keys, "rows").drop("rows")
     share = F.col("n") / F.col("t")
     part = share * F.log(F.col("n") * F.col("t") / (F.col("nv") * F.col("ny")))
     return table.groupBy("feature").agg(F.sum(part).alias("mutual_information"))
