@@ -10,8 +10,9 @@ share costs one entry per chunk, and no key is hot.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 CHUNK_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 20
+BATCH_ROWS = 1000
 NO_ID = np.iinfo(np.int64).max
 
 _SPACE = np.zeros(256, bool)
@@ -30,8 +32,58 @@ BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BYTE_CODE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def narrow_batches(docs: DataFrame) -> None:
+    """Arrow batches of the session hold at most BATCH_ROWS rows: texts are wide, and a Python worker holds whole batches."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on between tasks and would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def lean(task: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The task over a group, giving its memory back after each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return task(table)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_pair(task: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for a task over a cogroup."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return task(left, right)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_batches(task: Callable) -> Callable:
+    """The same for a task over batches, at its end."""
+
+    def run(batches):
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """(chunk, doc_id, text) dealt by a hash of doc_id, and the number of chunks. One scan counts the bytes."""
+    narrow_batches(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // chunk_bytes))
     chunk = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(count)).cast("int")

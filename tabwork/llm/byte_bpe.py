@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -17,7 +18,7 @@ WHITE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000,
 # fixed values: the pre-token pattern
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 2 << 20
-MEMO = 1_000_000
+MEMO = 500_000
 
 
 def _classes() -> np.ndarray:
@@ -76,10 +77,8 @@ class ByteBPE:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         special = {t["content"] for t in described["added_tokens"]}
@@ -91,6 +90,15 @@ class ByteBPE:
         self.classes = _classes()
         self._forget()
 
+    @cached_property
+    def library(self):
+        """The library's tokenizer, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.path)
+        library.encode_special_tokens = True
+        return library
+
     def _forget(self) -> None:
         """The pre-tokens met so far: sorted hashes, where their ids are, and the ids one after the other."""
         self.hashes = np.zeros(0, np.uint64)

@@ -123,6 +123,7 @@ def rated(docs: DataFrame, bands=BANDS, chunk: int = CHUNK, level: int = LEVEL)
     """
     names = [n for n, _ in FIELDS]
     plain = docs.drop(*names)
+    B.narrow_batches(docs)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=level)
@@ -142,4 +143,4 @@ def rated(docs: DataFrame, bands=BANDS, chunk: int = CHUNK, level: int = LEVEL)
                 yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(out[n], t) for n, t in FIELDS)], names=[*own.schema.names, *names])
 
     schema = T.StructType([*plain.schema.fields, *(T.StructField(n, TYPES[t]) for n, t in FIELDS)])
-    return plain.mapInArrow(rate, schema)
+    return plain.mapInArrow(B.lean_batches(rate), schema)

@@ -178,6 +178,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
     """One row per piece: full sequences of a document, then a half where more is left, then its rest."""
     half = capacity // 2
 
+    B.narrow_batches(docs)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = byte_bpe(tokenizer)
         for batch in batches:
@@ -202,7 +204,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(B.lean_batches(cut), PIECES)
 
 
 def _assign(plan: Plan):

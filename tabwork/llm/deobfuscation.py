@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tabwork.llm import blocks as B
 from tabwork.llm.spans import Span, code_points, with_spans
 
 KINDS = ("email", "ip", "card", "phone")
@@ -227,4 +228,4 @@ def masked(docs: DataFrame) -> DataFrame:
             texts = [mask(t, s) for t, s in zip(batch["text"].to_pylist(), batch["personal"].to_pylist(), strict=True)]
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["personal"])
 
-    return found.mapInArrow(rewrite, docs.drop("personal").schema)
+    return found.mapInArrow(B.lean_batches(rewrite), docs.drop("personal").schema)

@@ -250,11 +250,12 @@ def decontaminate(
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") > 0)
     parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most_bytes))
     out = docs.drop("_words", "_items", "_hits", "_clean")
+    B.narrow_batches(docs)
     for i in range(parts):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i)
         phrases = [tuple(r) for r in own.collect()]
         kinds = {"_words": "long", "_items": "array<string>", "_hits": SPANS} | ({"_clean": "string"} if cut and i == parts - 1 else {})
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in kinds), *(f"{k} {v}" for k, v in kinds.items())])
         names = [f.name for f in out.schema if f.name not in kinds]
-        out = out.mapInArrow(_scan(phrases, window, shard_bytes, i == 0, "_clean" in kinds), schema).select(*[F.col(f"`{n}`") for n in names], *kinds)
+        out = out.mapInArrow(B.lean_batches(_scan(phrases, window, shard_bytes, i == 0, "_clean" in kinds)), schema).select(*[F.col(f"`{n}`") for n in names], *kinds)
     return out

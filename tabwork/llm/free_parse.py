@@ -289,11 +289,11 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, g
     """
     base, count = B.chunked(docs)
     groups = max(1, -(-count * B.CHUNK_BYTES * 2 // (length - trigger + 2) // group_phrases))
-    entries = base.groupBy("chunk").applyInArrow(_send(length, trigger, groups), ENTRY)
-    replies = cut_lineage(entries.groupBy("part").applyInArrow(_dictionary(length), REPLY))
+    entries = base.groupBy("chunk").applyInArrow(B.lean(_send(length, trigger, groups)), ENTRY)
+    replies = cut_lineage(entries.groupBy("part").applyInArrow(B.lean(_dictionary(length)), REPLY))
     asked = replies.filter(F.col("kind") == ASK)
     spelt_groups = max(1, -(-(asked.agg(F.sum("size")).first()[0] or 0) // GROUP_BYTES))
-    spelt = base.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_spell(length, trigger, spelt_groups), ENTRY)
-    ends = spelt.groupBy("part").applyInArrow(_suffix_array(length), REPLY)
+    spelt = base.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(B.lean_pair(_spell(length, trigger, spelt_groups)), ENTRY)
+    ends = spelt.groupBy("part").applyInArrow(B.lean(_suffix_array(length)), REPLY)
     late = replies.filter(F.col("kind") == LATE).unionByName(ends)
-    return base.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(_cut(length), OUT)
+    return base.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(B.lean_pair(_cut(length)), OUT)

@@ -128,6 +128,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percen
     columns stay, repeated ones too; a column `licenses` is replaced.
     """
     plain = docs.drop("licenses")
+    B.narrow_batches(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = pa.array(list(templates.values()), pa.string())
@@ -149,4 +150,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percen
                     found[lo + i] = [dict(zip(("license", "coverage", "start", "end"), s, strict=True)) for s in spans]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, ARROW)], names=[*batch.schema.names, "licenses"])
 
-    return plain.mapInArrow(scan, T.StructType([*plain.schema.fields, T.StructField("licenses", FOUND)]))
+    return plain.mapInArrow(B.lean_batches(scan), T.StructType([*plain.schema.fields, T.StructField("licenses", FOUND)]))

@@ -365,9 +365,9 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     """
     base, count = B.chunked(docs)
     groups = max(1, -(-count * B.CHUNK_BYTES // 6 // ENTRY_SHINGLES))
-    entries = base.groupBy("chunk").applyInArrow(_send(shingle, groups), ENTRY)
-    replies = entries.groupBy("part").applyInArrow(_shared, REPLY)
-    rows = cut_lineage(base.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_survive(shingle, percent, groups), SETS))
+    entries = base.groupBy("chunk").applyInArrow(B.lean(_send(shingle, groups)), ENTRY)
+    replies = entries.groupBy("part").applyInArrow(B.lean(_shared), REPLY)
+    rows = cut_lineage(base.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(B.lean_pair(_survive(shingle, percent, groups)), SETS))
     heads = rows.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_copies"))
 
     cells = rows.filter(F.col("first").isNotNull()).select("key", F.explode("first").alias("_cell"))
@@ -376,7 +376,7 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     components = cut_lineage(connected_components(edges.select(F.col("_center").alias("id1"), F.col("key").alias("id2")).distinct()))
 
     sets = rows.filter(F.col("prints").isNotNull()).select("key", "n_shingles", "prints")
-    links = cut_lineage(_tasks(sets, components, percent, group_shingles).groupBy("task").applyInArrow(_join_task(percent), "key string, root string, cut boolean"))
+    links = cut_lineage(_tasks(sets, components, percent, group_shingles).groupBy("task").applyInArrow(B.lean(_join_task(percent)), "key string, root string, cut boolean"))
     roots = links.filter(~F.col("cut")).select("key", "root")
     cut = links.filter("cut")
     if cut.take(1):

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tabwork.llm import blocks as B
+
 ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 SPARK = T.ArrayType(T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType()),
@@ -17,13 +19,14 @@ Span = tuple[str, int, int, bool]
 def with_spans(docs: DataFrame, name: str, find: Callable[[str], list[Span]]) -> DataFrame:
     """docs with the spans that find gives for each text (null: empty), in code points, end exclusive."""
     plain = docs.drop(name)
+    B.narrow_batches(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in find(t or "")] for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, ARROW)], names=[*batch.schema.names, name])
 
-    return plain.mapInArrow(scan, T.StructType([*plain.schema.fields, T.StructField(name, SPARK)]))
+    return plain.mapInArrow(B.lean_batches(scan), T.StructType([*plain.schema.fields, T.StructField(name, SPARK)]))
 
 
 def code_points(raw: bytes, ascii_only: bool, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

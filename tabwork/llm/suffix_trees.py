@@ -199,6 +199,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, group_suffixes: int
     base, count = B.chunked(docs)
     slots = min(MOST_SLOTS, max(SLOTS, 1 << (count * B.CHUNK_BYTES // group_suffixes).bit_length()))
     maps, groups = prefix_groups(prefix_counts(docs, window, slots), group_suffixes)
-    entries = base.groupBy("chunk").applyInArrow(_send(window, maps, groups), ENTRY)
-    replies = entries.groupBy("part").applyInArrow(_subtree, REPLY)
-    return base.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_cut(window), OUT)
+    entries = base.groupBy("chunk").applyInArrow(B.lean(_send(window, maps, groups)), ENTRY)
+    replies = entries.groupBy("part").applyInArrow(B.lean(_subtree), REPLY)
+    return base.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(B.lean_pair(_cut(window)), OUT)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, types as T
 from tabwork.llm import blocks as B
 
 MARK = "▁"
-MEMO = 1_000_000
+MEMO = 500_000
 BLOCK = 2 << 20
 
 
@@ -129,6 +129,7 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
     stay, repeated ones too; columns _words and _tokens are replaced.
     """
     plain = docs.drop("_words", "_tokens")
+    B.narrow_batches(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model not in _loaded:
@@ -137,4 +138,4 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
             words, tokens = _loaded[model].count(pc.fill_null(batch["text"], ""))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words), pa.array(tokens)], names=[*batch.schema.names, "_words", "_tokens"])
 
-    return plain.mapInArrow(scan, T.StructType([*plain.schema.fields, T.StructField("_words", T.LongType()), T.StructField("_tokens", T.LongType())]))
+    return plain.mapInArrow(B.lean_batches(scan), T.StructType([*plain.schema.fields, T.StructField("_words", T.LongType()), T.StructField("_tokens", T.LongType())]))
