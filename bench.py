@@ -14,7 +14,7 @@ HEADLINE = (
     "iqr_outliers", "profile_numeric", "cardinality", "group_stats", "correlation_matrix", "histogram",
     "quality_score", "column_profile", "label_encode", "frequency_encode", "group_deviation", "percent_rank_avg",
     "rolling_features_keyed", "cumulative_features", "split_ordered", "detect_drift", "forecast_job",
-    "text_counts", "keywords", "tfidf", "similar_pairs", "connected_components", "cluster_kmeans", "train_logistic_classifier",
+    "csv_round_trip", "text_counts", "keywords", "tfidf", "similar_pairs", "connected_components", "cluster_kmeans", "train_logistic_classifier",
 )
 
 
