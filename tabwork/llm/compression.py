@@ -17,9 +17,21 @@ CHUNK = 1024
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 MOST_ODD_CHUNKS = 30
+# how limits are fitted (fit): quality 1 rows in the sample, rows a length class needs, and the room left beside the sample's extremes
+FIT_ROWS = 2000
+LEAST_FIT_ROWS = 5
+LOW_ROOM, CHUNK_LOW_ROOM, HIGH_ROOM = 0.97, 0.90, 1.25
+SHORT_MOST = 0.98  # a text shorter than all of the sample may hardly compress
+LONGEST = 2 << 20  # from here on zstandard's window is full, and a longer text compresses no better
 # (from so many bytes on, least ratio, greatest ratio): a short text compresses less, whatever it says
-BANDS = ((0, 0.30, 0.98), (512, 0.25, 0.90), (2048, 0.22, 0.85), (8192, 0.20, 0.80), (32768, 0.15, 0.75))
-CHUNK_BAND = (0.25, 0.90)
+BANDS = (
+    (0, 0.584, 0.98), (256, 0.584, 0.885), (363, 0.528, 0.885), (512, 0.519, 0.852), (725, 0.492, 0.786), (1024, 0.476, 0.725),
+    (1449, 0.465, 0.679), (2048, 0.45, 0.651), (2897, 0.441, 0.612), (4096, 0.427, 0.59), (5793, 0.414, 0.583), (8192, 0.408, 0.564),
+    (11586, 0.403, 0.552), (16384, 0.391, 0.534), (23171, 0.379, 0.534), (32768, 0.368, 0.534), (46341, 0.357, 0.534), (65536, 0.346, 0.534),
+    (92682, 0.336, 0.534), (131072, 0.326, 0.534), (185364, 0.316, 0.534), (262144, 0.307, 0.534), (370728, 0.297, 0.534), (524288, 0.288, 0.534),
+    (741456, 0.28, 0.534), (1048576, 0.271, 0.534), (1482911, 0.263, 0.534), (2097152, 0.255, 0.534),
+)
+CHUNK_BAND = (0.452, 0.852)
 SYMBOLS = "#*$%&|<>"
 
 FIELDS = (
@@ -80,6 +92,10 @@ def _base(data: np.ndarray, edges: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def _base_failed(figures: dict[str, np.ndarray]) -> np.ndarray:
+    return (figures["n_words"] < LEAST_WORDS) | (100 * figures["n_repeat_words"] > MOST_REPEATED * figures["n_words"])
+
+
 def band(size: int, bands=BANDS) -> tuple[float, float]:
     _, low, high = max(b for b in bands if b[0] <= size)
     return low, high
@@ -111,6 +127,38 @@ def _judge(size: int, ratio: float | None, n: int, low: int, high: int, base_fai
     return "keep"
 
 
+def fit_bands(sizes: np.ndarray, ratios: np.ndarray) -> tuple[tuple[int, float, float], ...]:
+    """Limits by half octaves of length that keep all the given texts, with room beside their extremes.
+
+    Limits fall with length. Below the sampled lengths the lower limit of the
+    first class holds; above them it falls on by LOW_ROOM a class up to LONGEST.
+    """
+    kind = np.floor(2 * np.log2(np.maximum(sizes, 1)) + 1e-9).astype(int)
+    classes = [k for k, n in zip(*np.unique(kind, return_counts=True), strict=True) if n >= LEAST_FIT_ROWS]
+    if not classes:
+        raise ValueError("too few texts to fit limits on")
+    last = int(np.ceil(2 * np.log2(LONGEST)))
+    where = np.clip(np.searchsorted(classes, kind, "right") - 1, 0, None)  # a class of few texts joins the one below
+    low = np.minimum.accumulate([ratios[where == i].min() for i in range(len(classes))]) * LOW_ROOM
+    high = np.maximum.accumulate([ratios[where == i].max() for i in range(len(classes))][::-1])[::-1] * HIGH_ROOM
+    out = [(0, low[0], SHORT_MOST)] + [(2 ** (k / 2), a, min(b, SHORT_MOST)) for k, a, b in zip(classes, low, high, strict=True)]
+    out += [(2 ** (k / 2), low[-1] * LOW_ROOM ** (k - classes[-1]), out[-1][2]) for k in range(classes[-1] + 1, last + 1)]
+    return tuple((int(np.ceil(size)), round(float(a), 3), round(float(b), 3)) for size, a, b in out)
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chunk: int = CHUNK, level: int = LEVEL) -> tuple[tuple, tuple[float, float]]:
+    """BANDS and CHUNK_BAND from at most `rows` quality 1 documents, taken by a hash of doc_id, that pass the base rule."""
+    good = docs.join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id").select("doc_id", "text")
+    texts = [(r["text"] or "").encode() for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
+    data, edges = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    texts = [t for t, bad in zip(texts, _base_failed(_base(data, edges)), strict=True) if not bad]
+    compressor = zstandard.ZstdCompressor(level=level)
+    share = lambda t: len(compressor.compress(t)) / len(t)
+    parts = [share(t[a : a + chunk]) for t in texts for a in range(0, len(t), chunk) if 2 * len(t[a : a + chunk]) >= chunk]
+    bands = fit_bands(np.array([len(t) for t in texts]), np.array([share(t) for t in texts]))
+    return bands, (round(min(parts) * CHUNK_LOW_ROOM, 3), round(min(max(parts) * HIGH_ROOM, SHORT_MOST), 3))
+
+
 def rated(docs: DataFrame, bands=BANDS, chunk: int = CHUNK, level: int = LEVEL) -> DataFrame:
     """docs with the figures of FIELDS: word and line counts, compression ratios, and the verdict.
 
@@ -133,7 +181,7 @@ def rated(docs: DataFrame, bands=BANDS, chunk: int = CHUNK, level: int = LEVEL)
             for lo, hi in B.ranges(offsets):
                 part, edges = np.ascontiguousarray(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
                 out = _base(part, edges)
-                failed = (out["n_words"] < LEAST_WORDS) | (100 * out["n_repeat_words"] > MOST_REPEATED * out["n_words"])
+                failed = _base_failed(out)
                 view = memoryview(part)
                 sizes = [_compressed(view[a:b], compressor, bands, chunk) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 verdict = [_judge(int(n), *s, bool(f), bands) for n, s, f in zip(np.diff(edges), sizes, failed, strict=True)]
