@@ -181,22 +181,31 @@ def disguised_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
     return found
 
 
+def uncovered(disguised: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The disguised spans that no base span of their kind and no other disguised span covers."""
+    out, reach, far = [], dict.fromkeys(KINDS, -1), -1
+    for a, b, own, kind in sorted([(a, -b, False, kind) for kind, a, b in base] + [(a, -b, True, kind) for kind, a, b in disguised]):
+        if own and -b > max(reach[kind], far):
+            out.append((kind, a, -b))
+            far = -b
+        elif not own:
+            reach[kind] = max(reach[kind], -b)
+    return out
+
+
 def find_personal(text: str) -> list[Span]:
     raw = text.encode()
     base = sorted((a, b, kind) for kind, a, b in base_spans(raw))
     points = code_points(raw, len(raw) == len(text), [(a, b) for a, b, _ in base])
     out = [(kind, a, b, True) for (a, b), (_, _, kind) in zip(points, base, strict=True)]
-    for kind, a, b in sorted(disguised_spans(text, raw), key=lambda s: (s[1], -s[2])):
-        if not any(s < b and a < e for _, s, e, _ in out):
-            out.append((kind, a, b, False))
-    return out
+    return out + [(kind, a, b, False) for kind, a, b in uncovered(disguised_spans(text, raw), [s[:3] for s in out])]
 
 
 def scan_personal(docs: DataFrame) -> DataFrame:
     """docs with `personal`: array of (kind, start, end, base) in code points, end exclusive.
 
     Base spans are email, ip, card and phone as written; the others are disguised
-    ones that meet no base span. Null and empty texts have none. All rows and
+    ones that no base span of their kind covers. Null and empty texts have none. All rows and
     columns stay, repeated ones too; a column `personal` is replaced.
     """
     return with_spans(docs, "personal", find_personal)
