@@ -44,12 +44,23 @@ _WORD = "(?:" + "|".join(DIGITS) + ")"
 SPELLED = re.compile(rf"(?i)(?<![A-Za-z])(?:plus[ ,.-]+)?{_WORD}(?:[ ,.-]{{1,3}}{_WORD}){{6,}}(?![A-Za-z])")
 AT = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])[ ]?[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]?(?=[A-Za-z0-9])")
 DOT = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])[ ]?[\[({<][ ]?(?:dot|punkt|point|punto|\.)[ ]?[\])}>][ ]?(?=[A-Za-z0-9])")
-PLAIN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?: dot [A-Za-z0-9_%+-]+){0,4} at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+){1,4}(?![A-Za-z0-9])")
-PLAIN_PART = re.compile(r"(?i) (at|dot) ")
+_AT, _DOT = r"(?:[ ]?[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]?)", r"(?:[ ]?[\[({<][ ]?(?:dot|punkt|point|punto|\.)[ ]?[\])}>][ ]?| dot )"
+# an address whose at and dots are each plain, bracketed or spelled; behind a spelled at one dot of the domain is not plain
+ADDRESS = re.compile(
+    rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:{_DOT}[A-Za-z0-9._%+-]++){{0,8}}"
+    rf"(?:(?:{_AT}|@)[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++){{1,8}}| at [A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){{0,8}}{_DOT}[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++){{0,8}})"
+)
+ADDRESS_PART = re.compile(rf"(?i)(?P<at>{_AT}| at )|{_DOT}")
+# digit words and figures in one run
+MIXED = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus[ ,.()-]{{1,3}}|\+[ (]?)?(?:{_WORD}|[0-9]+)(?:[ ,.()-]{{1,3}}(?:{_WORD}|[0-9]+))+(?![A-Za-z0-9])")
+TOKEN = re.compile(r"(?i)[a-z]+|[0-9]+|\+")
+LEAST_DIGIT_WORDS = 3  # fewer beside figures are prose; a spelled plus counts as two
 BRACKET_HINT = re.compile(rb"[\[({<] ?(?:at|@|dot|punkt|point|punto|\.) ?[\])}>]")
 _WORDS = "|".join(DIGITS).encode()
 # a run of seven spelled digits has one between two separators, with another behind it
-DIGIT_HINT = re.compile(rb"[ ,.-](?:" + _WORDS + rb")[ ,.-]{1,3}(?:" + _WORDS + rb")[ ,.-]")
+DIGIT_HINT = re.compile(rb"[ ,.()-](?:" + _WORDS + rb")[ ,.()-]{1,3}(?:[0-9]|(?:" + _WORDS + rb")[ ,.()-])")
+# of words and figures in one run, a word stands beside a figure
+FIGURE_HINT = re.compile(rb"[0-9][ ,.()-]{1,3}(?:" + _WORDS + rb")[ ,.()-]")
 # the first bytes of characters from U+0100 on, and the soft hyphen: all keys of TABLE and INVISIBLE
 ODD_BYTES = re.compile(rb"[\xc4-\xff]|\xc2\xad")
 
@@ -153,11 +164,37 @@ def _spelled(m: re.Match) -> str:
     return ("+" if words[0] == "plus" else "") + "".join(DIGITS[w] for w in words if w in DIGITS)
 
 
+def _number(tokens: list[str]) -> str | None:
+    """What a run of digit words and figures is."""
+    words = sum(t in DIGITS for t in tokens) + 2 * ("plus" in tokens)
+    digits = "".join(DIGITS.get(t, t) for t in tokens if t not in ("plus", "+"))
+    if words < LEAST_DIGIT_WORDS or all(t in DIGITS or t == "plus" for t in tokens):  # words alone are SPELLED
+        return None
+    return "card" if 13 <= len(digits) <= 19 and luhn(digits) else "phone" if 9 <= len(digits) <= 15 else None
+
+
+def mixed_numbers(text: str) -> list[tuple[str, int, int]]:
+    """Numbers of digit words and figures; where a whole run is none, figures at its ends are left out."""
+    out = []
+    for m in MIXED.finditer(text):
+        parts = list(TOKEN.finditer(m.group()))
+        tokens = [p.group().lower() for p in parts]
+        spelled = [i for i, t in enumerate(tokens) if not t[0].isdigit()]
+        if not spelled or len(spelled) == len(tokens):
+            continue
+        for i, j in ((0, len(tokens)), (spelled[0], len(tokens)), (0, spelled[-1] + 1), (spelled[0], spelled[-1] + 1)):
+            kind = _number(tokens[i:j])
+            if kind:
+                out.append((kind, m.start() + parts[i].start(), m.start() + parts[j - 1].end()))
+                break
+    return out
+
+
 def disguised_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
     """Identifiers of the normal form, as spans of the source."""
     odd = ODD_BYTES.search(raw) and ODD.search(text)
     low = raw.lower()
-    hinted = b" at " in low and b" dot " in low or BRACKET_HINT.search(low) or DIGIT_HINT.search(low)
+    hinted = b" dot " in low and (b" at " in low or b"@" in low) or BRACKET_HINT.search(low) or DIGIT_HINT.search(low) or FIGURE_HINT.search(low)
     if not odd and not hinted:
         return []
     traced = Traced(text)
@@ -170,10 +207,11 @@ def disguised_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
         kind = "card" if 13 <= len(digits) <= 19 and luhn(digits) else "phone" if 9 <= len(digits) <= 15 else None
         if kind:
             found.append((kind, *traced.back(*m.span())))
+    found += [(kind, *traced.back(a, b)) for kind, a, b in mixed_numbers(traced.text)]
     traced.rewrite(SPELLED, _spelled)
+    traced.rewrite(ADDRESS, lambda m: ADDRESS_PART.sub(lambda p: "@" if p.group("at") else ".", m.group()))
     for part in (AT, DOT):
         traced.rewrite(part, lambda m, put="@" if part is AT else ".": put)
-    traced.rewrite(PLAIN, lambda m: PLAIN_PART.sub(lambda p: "@" if p.group(1).lower() == "at" else ".", m.group()))
     normal = traced.text.encode()
     spans = sorted((a, b, kind) for kind, a, b in base_spans(normal))
     points = code_points(normal, len(normal) == len(traced.text), [(a, b) for a, b, _ in spans])
