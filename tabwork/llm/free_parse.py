@@ -14,6 +14,12 @@ holds each distinct phrase once with its first occurrence in corpus order
    send their bytes. The suffix array of this dictionary is built by prefix
    doubling down to depth `length`; suffixes of one rank are one string, and the
    parse gives each its first occurrence in corpus order.
+
+A trigger of very many phrases (a common line of fewer than `length` bytes with
+ever new text around it) would put them all in one group. Such triggers are
+counted beforehand on a sample of the chunks; their phrases are sent as single
+strings, dealt by the hash of the string, each once per chunk. The result does
+not depend on which triggers these are.
 """
 
 from __future__ import annotations
@@ -29,7 +35,9 @@ LENGTH = 100
 TRIGGER = 32
 GROUP_PHRASES = 1_000_000
 GROUP_BYTES = 4 << 20
-PARSE, LATE, ASK = 0, 1, 2
+HOT_PHRASES = 8192
+SAMPLE_CHUNKS = 16
+PARSE, LATE, ASK, STRING = 0, 1, 2, 3
 
 ENTRY = "part int, chunk int, kind int, rows binary, ids binary, counts binary, starts binary, runs binary, triggers binary, phrases binary, text binary"
 REPLY = "chunk int, kind int, size int, rows binary, starts binary, runs binary"
@@ -106,17 +114,58 @@ def _unpack(table: pa.Table, at: list[int]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (blob, row, doc, start, run))
 
 
-def _send(length: int, trigger: int, groups: int):
+def hot_triggers(base: DataFrame, count: int, length: int, trigger: int, most: int) -> tuple[np.ndarray, int]:
+    """Triggers of more than about `most` distinct phrases, sorted, and about how many strings they have.
+
+    Counted on SAMPLE_CHUNKS of the chunks, which are dealt by hash. The list has
+    at most one trigger for each `most` phrases of the corpus.
+    """
+    part = min(count, SAMPLE_CHUNKS)
+
+    def phrases(batches):
+        for batch in batches:
+            data, offsets = B.utf8(batch["text"])
+            for lo, hi in B.ranges(offsets):
+                _, run, trig, phrase = parse(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, trigger)
+                yield pa.RecordBatch.from_arrays([pa.array(trig.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(run, pa.int64())], names=["trig", "phrase", "run"])
+
+    sample = base.filter(F.col("chunk") < part).select("text").mapInArrow(B.lean_batches(phrases), "trig long, phrase long, run long")
+    once = sample.groupBy("trig", "phrase").agg(F.first("run").alias("run"))
+    often = once.groupBy("trig").agg(F.count(F.lit(1)).alias("n"), F.sum("run").alias("strings")).filter(F.col("n") * count > most * part)
+    rows = often.select("trig", "strings").toArrow()
+    return np.sort(rows["trig"].to_numpy().astype(np.int64).view(np.uint64)), (sum(rows["strings"].to_pylist()) * count) // part
+
+
+def _strings(data: np.ndarray, at: np.ndarray, run: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of phrases: number of the phrase, hash of the string."""
+    sums, down = B.prefix_sums(data)
+    begin = np.repeat(at, run) + _within(run)
+    return np.repeat(np.arange(len(run)), run), B.span_hash(sums, down, begin, begin + length)
+
+
+def _is_hot(trig: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(trig), bool)
+    return hot[np.minimum(np.searchsorted(hot, trig), len(hot) - 1)] == trig
+
+
+def _send(length: int, trigger: int, groups: int, hot: np.ndarray):
     def send(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
         ids, texts = B.in_id_order(table)
         data, offsets = B.utf8(texts)
-        found = []
+        found, single = [], []
         for lo, hi in B.ranges(offsets):
             edges = offsets[lo : hi + 1] - offsets[lo]
-            at, run, trig, phrase = parse(data[offsets[lo] : offsets[hi]], edges, length, trigger)
+            own = data[offsets[lo] : offsets[hi]]
+            at, run, trig, phrase = parse(own, edges, length, trigger)
             row = np.searchsorted(edges, at, "right") - 1
-            found.append((lo + row, at - edges[row], run, trig, phrase))
+            split = _is_hot(trig, hot)
+            if split.any():
+                which, string = _strings(own, at[split], run[split], length)
+                single.append((lo + row[split][which], (at - edges[row])[split][which] + _within(run[split]), string))
+            keep = ~split
+            found.append((lo + row[keep], (at - edges[row])[keep], run[keep], trig[keep], phrase[keep]))
         cols = {name: [] for name in _schema(ENTRY).names}
         row, start, run, trig, phrase = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
         if len(row):
@@ -129,11 +178,27 @@ def _send(length: int, trigger: int, groups: int):
             for g in np.flatnonzero(np.diff(edges)).tolist():
                 own = once[order[edges[g] : edges[g + 1]]]
                 _pack(cols, g, chunk, PARSE, ids, row[own], start[own], run[own], trig[own], phrase[own])
+        if single:
+            _send_strings(cols, chunk, ids, *(np.concatenate(x) for x in zip(*single, strict=True)), groups)
         return pa.table(cols, _schema(ENTRY))
 
     return send
 
 
+def _send_strings(cols: dict, chunk: int, ids: np.ndarray, row: np.ndarray, start: np.ndarray, string: np.ndarray, groups: int) -> None:
+    """Strings of hot triggers by their hash, each once; repeats inside the chunk are late."""
+    one = np.ones(len(row), np.int64)
+    _, first = _firsts(string, ids[row], start)
+    later = _later(ids[row], start, ids[row[first]], start[first])
+    late, once = np.flatnonzero(later), np.flatnonzero(~later)
+    if len(late):
+        _pack(cols, chunk % groups, chunk, LATE, ids, row[late], start[late], one[late])
+    order, edges = B.by_group((string[once] % np.uint64(groups)).astype(np.int64), groups)
+    for g in np.flatnonzero(np.diff(edges)).tolist():
+        own = once[order[edges[g] : edges[g + 1]]]
+        _pack(cols, g, chunk, STRING, ids, row[own], start[own], one[own], phrase=string[own])
+
+
 def _reply(cols: dict, table: pa.Table, kind: int, blob, row, start, run, length: int = 1) -> None:
     """One answer for each blob with entries; size counts the bytes of their phrases."""
     order, edges = B.by_group(blob, table.num_rows)
@@ -171,6 +236,12 @@ def _resolve_phrases(table: pa.Table, length: int) -> pa.Table:
         shared, times = np.unique(trig[once], return_counts=True)
         ask = np.flatnonzero(~late & np.isin(trig, shared[times > 1]))
         _reply(cols, table, ASK, blob[ask], row[ask], start[ask], run[ask], length)
+    here = [i for i, k in enumerate(kinds) if k == STRING]
+    if here:
+        blob, row, doc, start, run = _unpack(table, here)
+        _, first = _firsts(np.concatenate([np.frombuffer(table["phrases"][i].as_py(), np.uint64) for i in here]), doc, start)
+        late = _later(doc, start, doc[first], start[first])
+        _reply(cols, table, LATE, blob[late], row[late], start[late], run[late])
     return pa.table(cols, _schema(REPLY))
 
 
@@ -277,7 +348,7 @@ def _cut(length: int):
     return cut
 
 
-def dedup_bytes(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, group_phrases: int = GROUP_PHRASES) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, group_phrases: int = GROUP_PHRASES, hot_phrases: int = HOT_PHRASES) -> DataFrame:
     """One row per document: bytes, the bytes that stay, and the removed byte spans.
 
     A byte goes when a string of `length` bytes that covers it also starts
@@ -288,8 +359,10 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, g
     gives an empty result.
     """
     base, count = B.chunked(docs)
-    groups = max(1, -(-count * B.CHUNK_BYTES * 2 // (length - trigger + 2) // group_phrases))
-    entries = base.groupBy("chunk").applyInArrow(B.lean(_send(length, trigger, groups)), ENTRY)
+    about = count * B.CHUNK_BYTES * 2 // (length - trigger + 2)  # phrases
+    hot, strings = hot_triggers(base, count, length, trigger, hot_phrases) if about > hot_phrases else (np.zeros(0, np.uint64), 0)
+    groups = max(1, -(-(about + strings) // group_phrases))
+    entries = base.groupBy("chunk").applyInArrow(B.lean(_send(length, trigger, groups, hot)), ENTRY)
     replies = cut_lineage(entries.groupBy("part").applyInArrow(B.lean(_dictionary(length)), REPLY))
     asked = replies.filter(F.col("kind") == ASK)
     spelt_groups = max(1, -(-(asked.agg(F.sum("size")).first()[0] or 0) // GROUP_BYTES))
