@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabwork.llm import (
-    compression, cutting_stock, deobfuscation, entropy_scan, fm_index, free_parse, license_scan, signature_trees, spans, suffix_trees, trie_counts,
+    compression, cutting_stock, deobfuscation, entropy_scan, fm_index, free_parse, hard_negatives, html_text, license_scan, signature_trees, spans, spelling,
+    suffix_trees, trie_counts,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +129,42 @@ def op5_patience_alignment(spark: SparkSession, path: str) -> DataFrame:
 def op9_trie_counts(spark: SparkSession, path: str) -> DataFrame:
     counted = trie_counts.token_counts(_table(spark, path, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.select("doc_id", F.col("_words").alias("n_words"), F.col("_tokens").alias("n_tokens"))
+
+
+@_query
+def op11_tree_blocks(spark: SparkSession, path: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, path, "pages"))
+
+
+@_query
+def op12_search_schemes(spark: SparkSession, path: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, path, "documents"))
+
+
+@_query
+def op13_zone_maps(spark: SparkSession, path: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, path, "embeddings"))
+
+
+ORACLE["op13_zone_maps"] = r"""
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and coalesce(list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x::double))), true)),
+a as (select vec_id as anchor_id, label as a_label, v as a from r where vec_id % 100 = 0),
+s as (
+  select anchor_id, a_label, r.vec_id, r.label,
+    coalesce(list_sum(list_transform(range(1, greatest(len(a), len(v)) + 1), lambda i: coalesce(a[i] * v[i], 0))), 0)::bigint as score
+  from a, r),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score
+  from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as k from s where label = a_label and vec_id <> anchor_id)
+  where k <= 5),
+n as (
+  select p.anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+  from p join s on s.anchor_id = p.anchor_id and s.label <> s.a_label and 80 * positive_score <= 100 * s.score and s.score <= positive_score)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
