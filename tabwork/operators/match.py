@@ -3,8 +3,10 @@
 Records with the same term vector are collapsed to one first, so a large group
 of copies costs one vector. All terms count unless the caller sets max_features.
 Pairs above the threshold are found by an exact prefix filter on terms ordered
-from rare to common (see pairs_above): only the leading terms of the vectors are
-joined, and only pairs that share one are computed in full.
+from rare to common with residual bounds (see pairs_above): only the leading terms
+of the vectors are joined, a meeting whose bound is under the threshold is dropped
+inside the join, long postings meet block by block, and only the pairs left are
+computed in full.
 """
 
 from __future__ import annotations
@@ -119,21 +121,42 @@ def collapse(
     return Vectors(members, cut_lineage(terms))
 
 
-def pairs_above(terms: DataFrame, threshold: float) -> DataFrame:
+POSTING_BLOCK = 2048  # entries of one term that meet the entries of one other block in one task
+
+
+def pairs_above(terms: DataFrame, threshold: float, block: int = POSTING_BLOCK) -> DataFrame:
     """(id1, id2, similarity) of distinct vectors with cosine over the threshold, id1 < id2.
 
-    A vector leads with its rare terms until the rest is shorter than the
-    threshold. If the rarest term that a pair shares is behind the leading terms
-    of one of the two, all they share lies in its rest, and the cosine is below
-    the threshold; so every pair above it shares a leading term of both. These
-    are the rare ones, and only such pairs are computed in full.
+    Terms of a vector are ordered from rare to common. A vector's prefix runs until
+    the L2 norm of the rest falls under the threshold: a pair above it shares a
+    prefix term of both. Each prefix entry carries residual bounds of the vector from
+    that term on: the L2 norm, the sum of weights and the greatest weight. When two
+    entries meet on their first shared term, the pair's cosine is at most
+    min(l2 x l2, sum x greatest, greatest x sum) of the two rests; the join drops a
+    meeting whose bound is under the threshold as it is met, so such pairs are never
+    listed or shuffled. Meetings at later shared terms have smaller bounds; a pair
+    above the threshold keeps its first one. Postings of a term with more than
+    `block` entries are cut into hash blocks that meet block by block, so no task
+    holds a whole long list. The survivors are scored exactly on all their terms.
     """
     order = Window.partitionBy("rep").orderBy(F.col("df"), F.col("term"))  # the terms of one text
-    rest = F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(0, Window.unboundedFollowing))
-    leading = terms.withColumn("_rest", rest).filter(F.col("_rest") >= threshold * threshold - SLACK)
-    left = leading.select(F.col("rep").alias("id1"), "term")
-    right = leading.select(F.col("rep").alias("id2"), "term")
-    candidates = left.join(right, "term").filter(F.col("id1") < F.col("id2")).select("id1", "id2").distinct()
+    tail = order.rowsBetween(0, Window.unboundedFollowing)
+    rests = terms.select(
+        "rep", "term", "weight",
+        F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(tail)).alias("_l2"),
+        F.sum("weight").over(tail).alias("_l1"),
+        F.max("weight").over(tail).alias("_top"),
+    )
+    leading = rests.filter(F.col("_l2") >= threshold - SLACK)
+    sizes = leading.groupBy("term").agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block))).cast("int")
+    posted = leading.join(sizes, "term").withColumn("_parts", parts).withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("_parts")))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    left = posted.select("term", F.col("_b").alias("_p"), every.alias("_q"), F.col("rep").alias("id1"), F.col("_l2").alias("a2"), F.col("_l1").alias("a1"), F.col("_top").alias("at"))
+    right = posted.select("term", every.alias("_p"), F.col("_b").alias("_q"), F.col("rep").alias("id2"), F.col("_l2").alias("b2"), F.col("_l1").alias("b1"), F.col("_top").alias("bt"))
+    bound = F.least(F.col("a2") * F.col("b2"), F.col("a1") * F.col("bt"), F.col("at") * F.col("b1"))
+    met = left.join(right, (left["term"] == right["term"]) & (left["_p"] == right["_p"]) & (left["_q"] == right["_q"]) & (F.col("id1") < F.col("id2")) & (bound >= threshold - SLACK))
+    candidates = met.select("id1", "id2").distinct()
     one = terms.select(F.col("rep").alias("id1"), "term", F.col("weight").alias("w1"))
     two = terms.select(F.col("rep").alias("id2"), "term", F.col("weight").alias("w2"))
     products = candidates.join(one, "id1").join(two, ["id2", "term"])

@@ -153,3 +153,21 @@ def test_scan_reads_needed_columns_only(spark):
     lineitem = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     text = plan_of(profile.missing_summary(lineitem, ["l_tax"]))
     assert "ReadSchema: struct<l_tax:double>" in text
+
+
+def test_pairs_with_a_term_in_every_text_and_small_blocks(spark):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(40)]
+    texts = ["common " + " ".join(rng.choices(vocab, k=rng.randrange(1, 7))) for _ in range(150)] + ["common"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    v = match.collapse(df, "id", F.col("t"), None, (1, 1), ())
+    weights = {}
+    for r in v.terms.collect():
+        weights.setdefault(r["rep"], {})[r["term"]] = r["weight"]
+    dot = lambda a, b: sum(w * weights[b].get(t, 0.0) for t, w in weights[a].items())
+    for threshold in (0.5, 0.8):
+        got = {(r["id1"], r["id2"]) for r in match.pairs_above(v.terms, threshold, block=4).collect()}
+        ids = sorted(weights)
+        want = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if dot(a, b) > threshold + 1e-9}
+        edge = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if abs(dot(a, b) - threshold) <= 1e-9}
+        assert want <= got <= want | edge
