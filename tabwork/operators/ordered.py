@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-FAN = 16
+LEAST_BLOCKS = 16
 SAMPLE_PER_BLOCK = 32
 CHUNK_ROWS = 1_000_000
 
@@ -24,7 +24,7 @@ def order_key(order_by: Sequence[str]) -> Column:
 
 
 def block_count(df: DataFrame) -> int:
-    return min(1024, max(FAN, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return min(1024, max(LEAST_BLOCKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _cut_points(source: DataFrame, order_by: Sequence[str], parts: int) -> Column:
@@ -44,11 +44,13 @@ def _cut_points(source: DataFrame, order_by: Sequence[str], parts: int) -> Colum
     return sample.agg(F.array_distinct(F.filter(every, lambda k: k.isNotNull())).alias("cuts")).scalar()
 
 
-def _count_below(cuts: Column, key: Column) -> Column:
-    """How many sorted cut points lie under key, looking at every FAN-th one first."""
-    coarse = F.filter(cuts, lambda e, i: (i % FAN) == FAN - 1)
-    step = F.size(F.filter(coarse, lambda e: e < key)) * FAN
-    return step + F.size(F.filter(F.slice(cuts, step + 1, FAN - 1), lambda e: e < key))
+def _count_below(cuts: Column, key: Column, most: int) -> Column:
+    """How many of at most `most` sorted cut points lie under key, by binary search: few looks a row, not one a cut."""
+    steps = [1 << i for i in reversed(range(max(1, most.bit_length())))]
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda below, s: F.when(F.get(cuts, below + s - 1) < key, below + s).otherwise(below),
+    )
 
 
 def with_blocks(
@@ -61,7 +63,7 @@ def with_blocks(
     """Add a struct (partition keys, block); blocks rise with the whole order key."""
     source, parts = (cut_from if cut_from is not None else df), block_count(df)
     cut = df.withColumn("_cuts", _cut_points(source, order_by, parts))
-    block = _count_below(F.col("_cuts"), order_key(order_by))
+    block = _count_below(F.col("_cuts"), order_key(order_by), parts)
     part = F.struct(*[F.col(c) for c in partition_by], block.cast("long").alias("_block"))
     return cut.withColumn(name, part).drop("_cuts")
 
