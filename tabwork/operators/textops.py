@@ -73,8 +73,13 @@ def _entities(pieces: Column, kind: str, k: int) -> Column:
 def extract_entities(df: DataFrame, col: str, k: int = 5) -> DataFrame:
     """Capitalised names, dates and money with offsets: the first k, names before dates before money."""
     kinds = {"PERSON": fixed.NAME_ENTITY, "DATE": fixed.DATE_ENTITY, "MONEY": fixed.MONEY_ENTITY}
-    # the pieces are columns of their own, so that each pattern runs over a text once
-    wide = df.withColumns({f"_{kind}": _marked_pieces(F.col(col), p, k) for kind, p in kinds.items()})
+    # the pieces come out of a generator, so a later filter on the entities is not rewritten to run the patterns
+    # again for each use; later kinds are looked for only where fewer than k were found
+    wide, room = df, F.lit(True)
+    for kind, p in kinds.items():
+        pieces = F.when(room, _marked_pieces(F.col(col), p, k)).otherwise(F.array().cast("array<string>"))
+        wide = wide.select("*", F.inline(F.array(F.struct(pieces.alias(f"_{kind}")))))
+        room = room & (F.size(f"_{kind}") <= 2 * k)
     found = F.concat(*[_entities(F.col(f"_{kind}"), kind, k) for kind in kinds])
     return wide.withColumn("entities", F.slice(found, 1, k)).drop(*[f"_{kind}" for kind in kinds])
 

@@ -19,3 +19,15 @@ def test_blocks_come_from_a_binary_search(spark):
         assert {r.id: r.n for r in made.collect()} == {i: bisect_left(cuts, i) for i in range(-10, 30)}
     blocks = ordered.with_blocks(spark.range(50), ["id"])
     assert "filter(cuts" not in plan(blocks) and "aggregate(array(" in blocks._jdf.queryExecution().analyzed().toString()
+
+
+def test_entity_patterns_run_once_below_a_filter(spark):
+    from tabwork.operators import textops
+
+    texts = spark.createDataFrame([(1, "Ann met Bob on 1/2/2024 for $5"), (2, "Al Bo Ca. Di? Ed! Fa; Go: Hu 1/2/2024"), (3, None)], "k int, text string")
+    found = textops.extract_entities(texts, "text")
+    lines = found.filter(F.size("entities") > 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert lines.count("regexp_replace") == 3
+    rows = {r.k: [(e.type, e.entity) for e in r.entities] for r in found.filter("k < 3").collect()}
+    assert rows[1] == [("PERSON", "Ann"), ("PERSON", "Bob"), ("DATE", "1/2/2024"), ("MONEY", "$5")]
+    assert [t for t, _ in rows[2]] == ["PERSON"] * 5
