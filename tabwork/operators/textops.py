@@ -138,7 +138,10 @@ def topics(df: DataFrame, col: str, k: int = 5) -> DataFrame:
 
 
 def _top_per_text(words: DataFrame, key: str, k: int, name: str) -> DataFrame:
-    """The k most frequent words of each text, first position on ties, as one array."""
+    """The k most frequent words of each text, first position on ties, as one array.
+
+    The texts come dealt by their key, which is then the only exchange: no word is shuffled.
+    """
     counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), "pos")  # the distinct words of one text
     best = counts.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
@@ -148,13 +151,13 @@ def _top_per_text(words: DataFrame, key: str, k: int, name: str) -> DataFrame:
 
 def keywords(df: DataFrame, key: str, col: str, k: int = 5) -> DataFrame:
     """(key, keywords): the most frequent words of each text without stop words."""
-    words = df.select(key, F.posexplode(plain_words(F.col(col))).alias("pos", "word"))
+    words = df.select(key, col).repartition(key).select(key, F.posexplode(plain_words(F.col(col))).alias("pos", "word"))
     return _top_per_text(words.filter(~F.col("word").isin(fixed.STOP_WORDS)), key, k, "keywords")
 
 
 def key_phrases(df: DataFrame, key: str, col: str, k: int = 3) -> DataFrame:
     """(key, phrases): the most frequent pairs of neighbouring words, neither a stop word."""
-    words = df.select(key, plain_words(F.col(col)).alias("w"))
+    words = df.select(key, col).repartition(key).select(key, plain_words(F.col(col)).alias("w"))
     pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))).alias("b"))
     rows = words.select(key, F.posexplode(pairs).alias("pos", "p")).select(key, "pos", "p.a", "p.b")
     kept = rows.filter(F.col("b").isNotNull() & ~F.col("a").isin(fixed.STOP_WORDS) & ~F.col("b").isin(fixed.STOP_WORDS))

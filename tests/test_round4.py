@@ -21,6 +21,15 @@ def test_blocks_come_from_a_binary_search(spark):
     assert "filter(cuts" not in plan(blocks) and "aggregate(array(" in blocks._jdf.queryExecution().analyzed().toString()
 
 
+def test_phrases_and_keywords_have_one_exchange(spark):
+    from tabwork.operators import textops
+
+    texts = spark.createDataFrame([(1, "red fox runs red fox"), (2, "old sea wall"), (1, "red fox")], "k int, text string")
+    for made in (textops.key_phrases(texts, "k", "text"), textops.keywords(texts, "k", "text")):
+        assert plan(made).count("Exchange hashpartitioning") == 1
+    assert {r.k: r.phrases[0] for r in textops.key_phrases(texts, "k", "text").collect()} == {1: "red fox", 2: "old sea"}
+
+
 def test_entity_patterns_run_once_below_a_filter(spark):
     from tabwork.operators import textops
 
