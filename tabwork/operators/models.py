@@ -331,20 +331,25 @@ def governed_run(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str])
 
 
 KNN_BLOCK = 4096
+KNN_WIDE = 8
+
+
+def _knn_blocks(rows: int) -> int:
+    """Blocks of KNN_BLOCK rows, of up to KNN_WIDE times as many once there are KNN_WIDE of them."""
+    return max(1, -(-rows // min(KNN_BLOCK * KNN_WIDE, max(KNN_BLOCK, -(-rows // KNN_WIDE)))))
 
 
 def knn(train_rows: DataFrame, query_rows: DataFrame, key: str, features: str, y: str, k: int = 5, regression: bool = False) -> DataFrame:
     """(key, predicted) by the k nearest training rows: majority vote, smallest class on ties, or mean.
 
-    Exact: the training rows are cut into blocks of fixed size, every query row
-    meets every block in some task as one matrix product, and the k nearest of
-    each block are merged per query row. No task holds more than one block of
+    Exact: the training rows are cut into blocks of bounded size, every query row
+    meets every block in some task by matrix products, and the k nearest of
+    each block are merged per query row. A row is sent once for each block of the
+    other table, so large tables have wide blocks. No task holds more than one block of
     each side; the work grows with the product of the two tables.
     """
-    vec = F.col(features).cast("array<double>")
-    size = train_rows.count()
-    blocks = max(1, -(-size // KNN_BLOCK))
-    q_blocks = max(1, -(-query_rows.count() // KNN_BLOCK))
+    vec = F.col(features)  # sent as it is; distances are of doubles
+    blocks, q_blocks = _knn_blocks(train_rows.count()), _knn_blocks(query_rows.count())
     known = train_rows.select(
         F.col(key).alias("tid"), vec.alias("v"), F.col(y).cast("double").alias("t"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("tb")
     ).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
@@ -355,9 +360,13 @@ def knn(train_rows: DataFrame, query_rows: DataFrame, key: str, features: str, y
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "d": [], "tid": [], "t": []})
-        a, b = np.stack(right["q"].to_numpy()), np.stack(left["v"].to_numpy())
-        d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-        top = min(k, b.shape[0])
+        a, b = (np.stack(v.to_numpy()).astype(np.float64) for v in (right["q"], left["v"]))
+        squares, top = (b * b).sum(1)[None, :], min(k, b.shape[0])
+        step = max(1, KNN_BLOCK * KNN_BLOCK // b.shape[0])  # query rows whose distances are held at once
+        return pd.concat([near(right.iloc[i : i + step], left, a[i : i + step], b, squares, top) for i in range(0, len(a), step)])
+
+    def near(right, left, a, b, squares, top) -> pd.DataFrame:
+        d = (a * a).sum(1)[:, None] + squares - 2 * a @ b.T
         at = np.argpartition(d, top - 1, axis=1)[:, :top]
         return pd.DataFrame(
             {

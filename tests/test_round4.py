@@ -30,6 +30,16 @@ def test_phrases_and_keywords_have_one_exchange(spark):
     assert {r.k: r.phrases[0] for r in textops.key_phrases(texts, "k", "text").collect()} == {1: "red fox", 2: "old sea"}
 
 
+def test_knn_sends_rows_to_few_wide_blocks(spark, monkeypatch):
+    from tabwork.operators import models
+
+    assert models._knn_blocks(4096) == 1 and models._knn_blocks(32_768) == 8 and models._knn_blocks(1 << 20) == 32
+    monkeypatch.setattr(models, "KNN_BLOCK", 4)
+    rows = spark.createDataFrame([(i, [float(i), float(i % 7)], i % 3) for i in range(90)], "id long, v array<float>, y int")
+    got = {r.id: r.predicted for r in models.knn(rows, rows, "id", "v", "y", 1).collect()}
+    assert got == {i: float(i % 3) for i in range(90)}
+
+
 def test_entity_patterns_run_once_below_a_filter(spark):
     from tabwork.operators import textops
 
