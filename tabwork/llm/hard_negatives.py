@@ -20,7 +20,8 @@ sum_d max(a_d lo_d, a_d hi_d).
 
 Anchors are the stated query set; they meet the zone maps chunk by chunk (a query
 set against all blocks, no pairs of rows), and rows are scored only in the blocks
-chosen. Ranking is by windows over one anchor's candidates.
+chosen: a block meets its anchors in one task as a matrix product, and gives on the
+first rows of each anchor only. Ranking is by windows over one anchor's candidates.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabwork.session import shared_dir
+from tabwork.session import cut_lineage, shared_dir
 
 POSITIVES = 5
 NEGATIVES = 5
@@ -45,6 +46,7 @@ BLOCK_ROWS = 256
 HILBERT_DIMS = 4
 HILBERT_BITS = 8
 ZONE_CHUNK = 64  # zone maps that one anchor row meets at a time
+PART_ANCHORS = 8192  # anchors that meet one block in one task at most, about
 FILE_ROWS = 200_000  # candidate rows per written file at most
 
 
@@ -177,6 +179,80 @@ def anchor_bounds(anchors: DataFrame, zones: DataFrame, chunk: int = ZONE_CHUNK)
     )
 
 
+def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    """Rows of integers; components beyond a shorter vector are zero."""
+    rows = column.combine_chunks()
+    if isinstance(rows, pa.ChunkedArray):
+        rows = pa.concat_arrays(rows.chunks) if rows.num_chunks else pa.array([], rows.type)
+    sizes = np.diff(rows.offsets.to_numpy())
+    values = rows.flatten().to_numpy(zero_copy_only=False)
+    if (sizes == dims).all():
+        return values.reshape(len(sizes), dims)
+    out = np.zeros((len(sizes), dims), np.int64)
+    out[np.arange(dims)[None, :] < sizes[:, None]] = values
+    return out
+
+
+def exact_scores(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Integer inner products of all rows of a with all rows of v; an OverflowError beyond 64 bits."""
+    if not a.size or not v.size:
+        return np.zeros((len(a), len(v)), np.int64)
+    most = max(abs(int(a.min())), abs(int(a.max()))) * max(abs(int(v.min())), abs(int(v.max()))) * a.shape[1]
+    if most < 1 << 53:  # every partial sum is an integer that a double holds
+        return (a.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64)
+    if most < 1 << 63:
+        return a @ v.T
+    return np.array([[int(x) for x in row] for row in a.astype(object) @ v.T.astype(object)], dtype=np.int64)
+
+
+def _ranked(left: pa.Table, right: pa.Table, dims: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The block's rows by id (nulls last), the scores of each anchor, and each anchor's row order by score."""
+    right = right.sort_by("vec_id")
+    scores = exact_scores(_matrix(left.column("a"), dims), _matrix(right.column("v"), dims))
+    return right, scores, np.argsort(-scores, axis=1, kind="stable")
+
+
+def _taken(left: pa.Table, right: pa.Table, scores: np.ndarray, at: tuple[np.ndarray, np.ndarray], names: list[str]) -> pa.Table:
+    asks, rows = at
+    columns = [left.column("anchor_id").take(pa.array(asks)), right.column("vec_id").take(pa.array(rows)), pa.array(scores[asks, rows])]
+    return pa.table(columns, names=names)
+
+
+def best_positives(dims: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The first POSITIVES rows of one block for each anchor, other than itself."""
+        right, scores, order = _ranked(left, right, dims)
+        ids = right.column("vec_id").fill_null(-1).to_numpy()  # an anchor's id is never null or -1
+        other = ids[order] != left.column("anchor_id").to_numpy()[:, None]
+        asks, places = np.nonzero(other & (np.cumsum(other, axis=1) <= POSITIVES))
+        return _taken(left, right, scores, (asks, order[asks, places]), ["anchor_id", "positive_id", "positive_score"])
+    return run
+
+
+def best_negatives(dims: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The first NEGATIVES rows of one block inside each window of each anchor, each row once."""
+        right, scores, order = _ranked(left, right, dims)
+        sorted_scores = np.take_along_axis(scores, order, 1)
+        windows = left.column("windows").to_pylist()
+        keep = np.zeros(scores.shape, bool)
+        for i in range(max(map(len, windows), default=0)):
+            top = np.array([w[i] if i < len(w) else -1 for w in windows], np.int64)[:, None]  # a window below 0 is empty
+            inside = (top >= 0) & (sorted_scores <= top) & (100 * sorted_scores >= 80 * top)
+            keep |= inside & (np.cumsum(inside, axis=1) <= NEGATIVES)
+        asks, places = np.nonzero(keep)
+        return _taken(left, right, scores, (asks, order[asks, places]), ["anchor_id", "negative_id", "negative_score"])
+    return run
+
+
+def score_blocks(asks: DataFrame, blocks: DataFrame, parts: int, run, schema: str) -> DataFrame:
+    """run(anchors, rows) for each block and part of its anchors: a matrix product a task, its best rows out."""
+    dealt = asks.withColumn("_part", F.pmod(F.xxhash64("anchor_id"), F.lit(parts)).cast("int"))
+    sides = blocks.select("block", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    wanted = sides.join(dealt.select("block", "_part").distinct(), ["block", "_part"], "left_semi")
+    return dealt.groupBy("block", "_part").cogroup(wanted.groupBy("block", "_part")).applyInArrow(run, schema)
+
+
 def mine(embeddings: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
@@ -194,6 +270,7 @@ def mine(embeddings: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     zones = zone_maps(blocks, dims)
     anchors = blocks.where(F.col("vec_id") % ANCHOR_EVERY == 0).select("vec_id", "label", "v")
     bounds = anchor_bounds(anchors, zones)
+    parts = max(1, math.ceil(anchors.count() / PART_ANCHORS))
 
     # positives: the threshold from lower bounds, then the blocks that can reach it
     same = bounds.where(F.col("a_label") == F.col("b_label"))
@@ -201,19 +278,18 @@ def mine(embeddings: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     running = same.withColumn("_seen", F.sum("rows").over(by_low))
     threshold = running.where(F.col("_seen") >= POSITIVES + 1).groupBy("anchor_id").agg(F.max("low").alias("_t"))
     reach = same.join(threshold, "anchor_id", "left").where(F.col("_t").isNull() | (F.col("high") >= F.col("_t")))
-    cand = reach.select("anchor_id", "a", "block").join(blocks.select("block", "vec_id", "v"), "block").where(~F.col("vec_id").eqNullSafe(F.col("anchor_id")))
-    scored = cand.select("anchor_id", F.col("vec_id").alias("positive_id"), dot(F.col("a"), F.col("v")).alias("positive_score"))
+    scored = score_blocks(
+        reach.select("anchor_id", "a", "block"), blocks, parts, best_positives(dims), "anchor_id long, positive_id long, positive_score long"
+    )
     first = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), F.asc_nulls_last("positive_id"))
-    positives = scored.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= POSITIVES).drop("_r")
+    positives = cut_lineage(scored.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= POSITIVES).drop("_r"))
 
     # negatives: blocks of other labels whose bounds meet a window of the anchor
     other = bounds.where(F.col("a_label") != F.col("b_label")).select("anchor_id", "a", "block", "low", "high")
-    windows = positives.select("anchor_id", "positive_score")
-    meets = other.join(windows, "anchor_id").where(
-        (100 * F.col("high") >= 80 * F.col("positive_score")) & (F.col("low") <= F.col("positive_score")) & (F.col("positive_score") >= 0)
-    ).select("anchor_id", "a", "block").distinct()
-    neg = meets.join(blocks.select("block", F.col("vec_id").alias("negative_id"), "v"), "block")
-    neg = neg.select("anchor_id", "negative_id", dot(F.col("a"), F.col("v")).alias("negative_score"))
+    windows = positives.groupBy("anchor_id").agg(F.sort_array(F.collect_set("positive_score")).alias("windows"))
+    met = lambda p: (100 * F.col("high") >= 80 * p) & (F.col("low") <= p) & (p >= 0)
+    meets = other.join(windows, "anchor_id").where(F.exists("windows", met)).select("anchor_id", "a", "windows", "block").distinct()
+    neg = score_blocks(meets, blocks, parts, best_negatives(dims), "anchor_id long, negative_id long, negative_score long")
     paired = positives.join(neg, "anchor_id").where(
         (80 * F.col("positive_score") <= 100 * F.col("negative_score")) & (F.col("negative_score") <= F.col("positive_score"))
     )

@@ -40,6 +40,22 @@ def test_knn_sends_rows_to_few_wide_blocks(spark, monkeypatch):
     assert got == {i: float(i % 3) for i in range(90)}
 
 
+def test_a_block_gives_only_the_first_rows_of_an_anchor(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from tabwork.llm import hard_negatives as h
+
+    small = np.array([[1 << 30, -5], [3, 4]])
+    assert h.exact_scores(small, small).tolist() == (small.astype(object) @ small.T.astype(object)).tolist()
+    asks = pa.table({"anchor_id": [100, 200], "a": [[1, 0], [2]], "windows": [[50, 60], [-3]]})
+    rows = pa.table({"vec_id": [*range(90, 190), None], "v": [[i, 1] for i in range(101)]})
+    first = h.best_positives(2)(asks, rows).to_pylist()
+    assert [r["positive_id"] for r in first[:5]] == [None, 189, 188, 187, 186] and len(first) == 10
+    other = h.best_negatives(2)(asks, rows).to_pylist()
+    assert [r["negative_score"] for r in other] == [60, 59, 58, 57, 56, 50, 49, 48, 47, 46]
+
+
 def test_entity_patterns_run_once_below_a_filter(spark):
     from tabwork.operators import textops
 
