@@ -19,9 +19,13 @@ suffix-rank intervals; a rank is a binary search in the sorted positions of a co
 point in the Burrows-Wheeler string. A final interval's suffix-array entries give the
 words.
 
+All queries of a group are searched together, one code point a round, on arrays of
+intervals.
+
 Spark deals the search: a near word t of q ends with the last three code points of q
 (right search) or starts with its first three (left search), since both halves hold
-three or more. Each (search, three code points) is one group of targets and queries;
+three or more. Each (search, three code points) is one group of targets and queries
+(groups of few words share an index of about PACK_WORDS words);
 a group of more than GROUP_WORDS words is cut into p parts by a hash of the word,
 both as targets and as queries, and each of the p x p cells (target part, query
 part) is one task, so no task holds more than about GROUP_WORDS targets and as
@@ -43,6 +47,9 @@ MIN_COUNT = 2
 FORM_RATIO = 10
 KEY_LENGTH = 3
 GROUP_WORDS = 40_000  # targets indexed by one task at most
+PACK_WORDS = 2000  # a key of so many words shares an index with others, about so many in all
+LEAST_PACKS = 64
+QUERIES = 2048  # searched together
 DELIMITER = "\x01"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -87,7 +94,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """FM-index of `|w1|w2|...|`: C array, ranks by sorted positions of each code point in the BWT."""
+    """FM-index of `|w1|w2|...|`: ranks by binary search in the sorted (symbol, place) pairs of the BWT."""
 
     def __init__(self, words: list[str]) -> None:
         text = DELIMITER + DELIMITER.join(words) + DELIMITER
@@ -95,75 +102,107 @@ class FMIndex:
         self.sa = suffix_array(codes)
         bwt = codes[(self.sa - 1) % len(codes)]
         self.bwt = bwt
-        symbols, counts = np.unique(codes, return_counts=True)
-        self.first = dict(zip(symbols.tolist(), (np.cumsum(counts) - counts).tolist()))
-        order = np.argsort(bwt, kind="stable")
-        cuts = np.searchsorted(bwt[order], symbols)
-        self.places = {s: order[a:b] for s, a, b in zip(symbols.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(bwt)])}
-        self.starts = np.cumsum([0] + [len(w) + 1 for w in words])[:-1]  # place of the delimiter before each word
+        self.symbols, self.bwt = np.unique(bwt, return_inverse=True)  # the BWT as places in the sorted symbols
+        order = np.argsort(self.bwt, kind="stable")
         self.size = len(codes)
+        self.keys = self.bwt[order] * (self.size + 1) + order  # (symbol, place), sorted: a step is one binary search
+        self.delimiter = int(np.searchsorted(self.symbols, ord(DELIMITER)))
+        self.starts = np.cumsum([0] + [len(w) + 1 for w in words])[:-1]  # place of the delimiter before each word
+
+    def step(self, c, lo, hi):
+        """Intervals of c + (the strings of [lo, hi)), for arrays of symbols and intervals."""
+        base = np.asarray(c) * (self.size + 1)
+        return np.searchsorted(self.keys, base + lo), np.searchsorted(self.keys, base + hi)
+
+    def preceding(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(interval number, symbol) for the symbols before the strings of each interval, other than the delimiter.
 
-    def step(self, c: int, lo: int, hi: int) -> tuple[int, int]:
-        """Interval of c + (the strings of [lo, hi))."""
-        places = self.places.get(c)
-        if places is None:
-            return 0, 0
-        base = self.first[c]
-        return base + int(np.searchsorted(places, lo)), base + int(np.searchsorted(places, hi))
+        An interval longer than the alphabet gets all symbols; a step by one that does not occur is empty.
+        """
+        count, width = len(self.symbols), hi - lo
+        short, long = np.flatnonzero(width <= count), np.flatnonzero(width > count)
+        which, places = _spread(lo[short], hi[short])
+        pairs = np.unique(short[which] * count + self.bwt[places])
+        at = np.concatenate((pairs // count, np.repeat(long, count)))
+        c = np.concatenate((pairs % count, np.tile(np.arange(count), len(long))))
+        keep = c != self.delimiter
+        return at[keep], c[keep]
 
-    def symbols(self, lo: int, hi: int) -> list[int]:
-        """Code points that precede the strings of [lo, hi), other than the delimiter."""
-        delim = ord(DELIMITER)
-        return [c for c in np.unique(self.bwt[lo:hi]).tolist() if c != delim]
+    def one_error_each(self, queries: list[str], exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, word) numbers with `|word|` = `|` + (one edit of the loose part) + exact part + `|`.
 
-    def words_at(self, lo: int, hi: int) -> np.ndarray:
-        """Word numbers of the suffixes in [lo, hi), each starting at a delimiter."""
-        return np.searchsorted(self.starts, self.sa[lo:hi], side="right") - 1
+        exact holds the lengths of the queries' exact parts, which are their ends and are matched first,
+        backwards. All queries move together, one code point a round.
+        """
+        sizes = np.array([len(q) for q in queries], np.int64)
+        codes = np.frombuffer("".join(queries).encode("utf-32-le"), np.uint32).astype(np.int64)
+        found = np.searchsorted(self.symbols, codes)
+        known = self.symbols[np.minimum(found, len(self.symbols) - 1)] == codes
+        ids, ends = np.where(known, found, -1), np.cumsum(sizes)
+
+        def move(q, t, lo, hi):
+            """Intervals after the t-th code point of each query from its end; empty for one that no word has."""
+            c = ids[ends[q] - 1 - t]
+            a, b = self.step(np.maximum(c, 0), lo, hi)
+            return a, np.where(c < 0, a, b)
+
+        q = np.arange(len(queries))
+        lo, hi = (np.full(len(queries), int(x)) for x in self.step(self.delimiter, 0, self.size))
+        for t in range(int(exact.max(initial=0))):
+            more = exact[q] > t
+            lo[more], hi[more] = move(q[more], t, lo[more], hi[more])
+            alive = lo < hi
+            q, lo, hi = q[alive], lo[alive], hi[alive]
+        t, err, hits = exact[q], np.zeros(len(q), bool), []
+        while len(q):
+            ended = t == sizes[q]
+            last = ended & err
+            ends_q, (a, b) = q[last], self.step(self.delimiter, lo[last], hi[last])
+            hits.append((ends_q, a, b))
+            open_ = np.flatnonzero(~err)  # one error may still come: another code point here
+            at, c = self.preceding(lo[open_], hi[open_])
+            at = open_[at]
+            a, b = self.step(c, lo[at], hi[at])
+            some = a < b
+            at, c, a, b = at[some], c[some], a[some], b[some]
+            out = ended[at]
+            hits.append((q[at[out]], *self.step(self.delimiter, a[out], b[out])))
+            at, c, a, b = at[~out], c[~out], a[~out], b[~out]
+            other = ids[ends[q[at]] - 1 - t[at]] != c
+            on = np.flatnonzero(~ended)
+            x, y = move(q[on], t[on], lo[on], hi[on])
+            same = x < y
+            gap = np.flatnonzero(~ended & ~err)
+            rounds = [
+                (q[on][same], t[on][same] + 1, x[same], y[same], err[on][same]),
+                (q[gap], t[gap] + 1, lo[gap], hi[gap], np.ones(len(gap), bool)),  # the word lacks this code point
+                (q[at], t[at], a, b, np.ones(len(at), bool)),  # the word has one more code point here
+                (q[at][other], t[at][other] + 1, a[other], b[other], np.ones(int(other.sum()), bool)),  # a replaced one
+            ]
+            q, t, lo, hi, err = (np.concatenate(x) for x in zip(*rounds))
+        if not hits:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        who, a, b = (np.concatenate(x) for x in zip(*hits))
+        which, places = _spread(a, b)
+        words = np.searchsorted(self.starts, self.sa[places], side="right") - 1
+        pairs = np.unique(who[which] * len(self.starts) + words)
+        return pairs // len(self.starts), pairs % len(self.starts)
 
     def one_error(self, exact: list[int], loose: list[int]) -> set[int]:
-        """Words w with `|w|` = `|` + (one edit of loose) + exact + `|`: exact matched first, backwards."""
-        delim = ord(DELIMITER)
-        lo, hi = self.step(delim, 0, self.size)
-        for c in reversed(exact):
-            lo, hi = self.step(c, lo, hi)
-            if lo >= hi:
-                return set()
-        found: set[int] = set()
-        # state: (position in loose still to match, backwards; interval; errors used)
-        stack = [(len(loose), lo, hi, 0)]
-        while stack:
-            j, lo, hi, err = stack.pop()
-            if j == 0:
-                if err == 1:
-                    a, b = self.step(delim, lo, hi)
-                    if a < b:
-                        found.update(self.words_at(a, b).tolist())
-                else:  # one inserted code point before the first
-                    for c in self.symbols(lo, hi):
-                        a, b = self.step(c, lo, hi)
-                        a, b = self.step(delim, a, b)
-                        if a < b:
-                            found.update(self.words_at(a, b).tolist())
-                continue
-            want = loose[j - 1]
-            a, b = self.step(want, lo, hi)
-            if a < b:
-                stack.append((j - 1, a, b, err))
-            if err:
-                continue
-            stack.append((j - 1, lo, hi, 1))  # the word lacks this code point
-            for c in self.symbols(lo, hi):
-                a, b = self.step(c, lo, hi)
-                if a >= b:
-                    continue
-                stack.append((j, a, b, 1))  # the word has one more code point here
-                if c != want:
-                    stack.append((j - 1, a, b, 1))  # a replaced code point
-        return found
+        """The words of one query, given as code points of its exact and its loose part."""
+        query = "".join(map(chr, [*loose, *exact]))
+        return set(self.one_error_each([query], np.array([len(exact)]))[1].tolist())
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(interval number, place) for every place of the intervals."""
+    width = np.maximum(hi - lo, 0)
+    which = np.repeat(np.arange(len(lo)), width)
+    return which, np.arange(len(which)) + np.repeat(lo - (np.cumsum(width) - width), width)
 
 
 def _search(part: pd.DataFrame) -> pd.DataFrame:
-    """Near pairs of one cell: its targets indexed, each of its queries searched by the cell's scheme."""
+    """Near pairs of one cell: its targets indexed, its queries searched by the cell's scheme, QUERIES at a time."""
     reverse = bool(part["_reverse"].iloc[0])
     targets = part.loc[part["_target"], "word"].tolist()
     queries = part.loc[~part["_target"], "word"].tolist()
@@ -171,12 +210,13 @@ def _search(part: pd.DataFrame) -> pd.DataFrame:
     if targets and queries:
         flip = (lambda w: w[::-1]) if reverse else (lambda w: w)
         index = FMIndex([flip(w) for w in targets])
-        for q in queries:
-            codes = [ord(c) for c in flip(q)]
-            half = len(q) - len(q) // 2 if reverse else len(q) // 2  # the exact part is q2 (right) or reversed q1 (left)
-            for t in index.one_error(codes[half:], codes[:half]):
-                left.append(q)
-                right.append(targets[t])
+        for i in range(0, len(queries), QUERIES):
+            some = queries[i : i + QUERIES]
+            sizes = np.array([len(q) for q in some], np.int64)
+            exact = sizes // 2 if reverse else sizes - sizes // 2  # reversed q1 (left) or q2 (right)
+            at, near = index.one_error_each([flip(q) for q in some], exact)
+            left += [some[k] for k in at.tolist()]
+            right += [targets[k] for k in near.tolist()]
     return pd.DataFrame({"word": pd.Series(left, dtype=object), "near": pd.Series(right, dtype=object)})
 
 
@@ -192,6 +232,10 @@ def near_pairs(vocab: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
     sizes = keyed.groupBy("_reverse", "_key").agg(F.count(F.lit(1)).alias("_size"))  # at most two rows per three code points
     parts = F.greatest(F.lit(1), F.ceil(F.col("_size") / F.lit(group_words))).cast("int")
     keyed = keyed.join(F.broadcast(sizes), ["_reverse", "_key"]).withColumn("_parts", parts)
+    # keys of few words share an index; a near word still has the key of its query
+    packs = max(LEAST_PACKS, vocab.count() // PACK_WORDS)
+    pack = F.concat(F.lit(DELIMITER), F.pmod(F.xxhash64("_key"), F.lit(packs)).cast("string"))
+    keyed = keyed.withColumn("_key", F.when(F.col("_size") <= PACK_WORDS, pack).otherwise(F.col("_key")))
     cells = F.sequence(F.lit(0), F.col("_parts") - 1)
     # a cell (target part, query part) holds at most about group_words targets and as many queries
     targets = keyed.select("word", "_reverse", "_key", F.pmod(F.xxhash64("word"), F.col("_parts")).alias("_t"), F.explode(cells).alias("_q"), F.lit(True).alias("_target"))

@@ -66,3 +66,27 @@ def test_entity_patterns_run_once_below_a_filter(spark):
     rows = {r.k: [(e.type, e.entity) for e in r.entities] for r in found.filter("k < 3").collect()}
     assert rows[1] == [("PERSON", "Ann"), ("PERSON", "Bob"), ("DATE", "1/2/2024"), ("MONEY", "$5")]
     assert [t for t, _ in rows[2]] == ["PERSON"] * 5
+
+
+def test_all_queries_search_an_index_together():
+    import random
+
+    import numpy as np
+
+    from tabwork.llm.spelling import FMIndex
+
+    draw = random.Random(5)
+    words = sorted({"".join(draw.choices("abç", k=draw.randint(7, 9))) for _ in range(400)})
+    queries = [*words[:150], "aaaaaaz", "zzzzzzz"]
+    exact = np.array([len(q) - len(q) // 2 for q in queries])
+
+    def edits(w):
+        cuts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        put = {a + c + b for a, b in cuts for c in "abç"} | {a + c + b[1:] for a, b in cuts if b for c in "abç"}
+        return (put | {a + b[1:] for a, b in cuts if b}) - {w}
+
+    at, near = FMIndex(words).one_error_each(queries, exact)
+    assert len(set(zip(at.tolist(), near.tolist()))) == len(at)
+    said = {(q, words[n]) for q, n in zip((queries[k] for k in at), near)}
+    ends = {q: {x + q[len(q) // 2 :] for x in edits(q[: len(q) // 2])} - {q} for q in queries}
+    assert said == {(q, w) for q in queries for w in words if w in ends[q]}
