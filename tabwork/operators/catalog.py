@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,6 +15,11 @@ from tabwork.operators.profile import cardinality, word_count
 DATE_WIDTH = 19
 
 
+def marks(form: str) -> str:
+    """A LIKE pattern of the fixed characters of a date format."""
+    return re.sub("[A-Za-z]+", "%", form)
+
+
 def column_profile(df: DataFrame, dataset: str, cols: Sequence[str] | None = None) -> DataFrame:
     """Every figure the catalogue rules use, in two passes over the table."""
     cols = list(cols or df.columns)
@@ -25,7 +31,8 @@ def column_profile(df: DataFrame, dataset: str, cols: Sequence[str] | None = Non
         known = F.count(c)
         if text:
             short = F.when(F.length(c) <= DATE_WIDTH, x)
-            fits = [F.count(F.try_to_timestamp(short, F.lit(f))) == known for f in FORMATS]
+            # a value without a format's marks is not parsed: a failed parse costs far more
+            fits = [F.count(F.when(x.like(marks(f)), F.try_to_timestamp(short, F.lit(f)))) == known for f in FORMATS]
             dated = fits[0]
             for fit in fits[1:]:
                 dated = dated | fit
