@@ -21,6 +21,7 @@ from tabwork.operators.profile import cardinality, classification_report
 from tabwork.operators.quality import model_risk
 from tabwork.operators.rows import drop_null_target, hash_bucket, split_train_test
 from tabwork.operators.scaling import bin_quantile
+from tabwork.session import spread
 
 SEED = 42
 CLASSIFIERS = ("logistic", "tree", "naive_bayes", "forest", "gbt", "svm", "mlp")
@@ -106,10 +107,11 @@ def prepare_model_data(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
 def train(df: DataFrame, y: str, xs: Sequence[str], name: str, kind: str | None = None, preset: str = "standard", params: dict | None = None) -> PipelineModel:
     """Fit preparation and model as one pipeline; the answer column is `predicted_<y>`.
 
-    Every stage of the fit reads the input rows, so they are held for its length.
+    Every stage of the fit reads the input rows, so they are held for its length, in even
+    parts: a forest holds a bagged copy of each part.
     """
     kind = kind or problem_type(df, y).first()["problem_type"]
-    rows = input_columns(drop_null_target(df, y), xs).select(y, *[x for x in xs if x != y]).persist()
+    rows = spread(input_columns(drop_null_target(df, y), xs).select(y, *[x for x in xs if x != y])).persist()
     try:
         return _fit(rows, y, xs, name, kind, preset, params)
     finally:
