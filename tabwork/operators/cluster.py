@@ -21,7 +21,7 @@ from tabwork.operators.ordered import number_rows
 from tabwork.operators.profile import top_values
 from tabwork.operators.rows import impute_mean, impute_median, impute_mode
 from tabwork.operators.scaling import standard_scale
-from tabwork.session import cut_lineage
+from tabwork.session import cut_lineage, spread
 
 SEED = 42
 TEXT_DIM = 1 << 10
@@ -157,7 +157,7 @@ def silhouette(df: DataFrame, features_col: str = "features", label: str = "pred
 def auto_cluster(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = AUTO_K, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The table labelled by the best of several models, and the score table (algorithm, k, score)."""
     ready = features(df, cols, shift=1.0)
-    held = ready.select("features").persist()
+    held = spread(ready.select("features")).persist()  # every fit runs on all cores
     tried, best = [], (-2.0, None)
     try:
         for name, make in (("kmeans", KMeans), ("hierarchical", BisectingKMeans)):
